@@ -1,4 +1,513 @@
-"""All registered queries and their SQL."""
+"""Registered queries over the driver's tables, each beside the SQL that says the same."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom.functions.scalar import STOP_WORDS
+from chronoloom.operators import claims as C
+from chronoloom.operators import conflicts as X
+from chronoloom.operators import entities as E
+from chronoloom.operators import graph as G
+from chronoloom.operators import retrieval as R
+from chronoloom.operators import similarity as S
+from chronoloom.operators import store as K
+from chronoloom.operators import temporal as T
+from chronoloom.sources.tables import canonical_events, comments, first_of, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+CE = """ce AS (SELECT event_id AS seq, substr(sha256('evt::' || event_id), 1, 16) AS source_id, 'issue_' || user_id AS subject,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, 'user_' || (k % 20) AS actor,
+  CASE event_type WHEN 'signup' THEN 'IssueCreated' WHEN 'purchase' THEN 'IssueClosed' WHEN 'view' THEN CASE WHEN k < 20 THEN 'IssueReopened' ELSE 'CommentAdded' END
+    WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'AssignedTo' ELSE 'Unassigned' END ELSE CASE WHEN k % 3 <> 0 THEN 'LabelAdded' ELSE 'LabelRemoved' END END AS event_type,
+  CASE WHEN event_type = 'click' THEN 'user_' || (CAST(floor(k / 2) AS INT) % 5) END AS assignee,
+  CASE WHEN event_type = 'error' THEN 'label_' || (CAST(floor(k / 3) AS INT) % 7) END AS label
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
+STATE = CE + """, st AS (SELECT subject AS issue_id, CASE event_type WHEN 'IssueClosed' THEN 'closed' ELSE 'open' END AS state, event_type AS caused_by, actor, source_id, seq,
+  ts AS valid_from, lead(ts) OVER (PARTITION BY subject ORDER BY ts, seq) AS valid_until FROM ce WHERE event_type IN ('IssueCreated', 'IssueClosed', 'IssueReopened'))"""
+ENT = CE + """, per AS (SELECT substr(sha256('Person::' || lower(actor)), 1, 12) AS entity_id, 'Person' AS entity_type, arg_min(actor, seq) AS canonical_name, string_agg(DISTINCT actor, ',' ORDER BY actor) AS aliases,
+  count(DISTINCT source_id) AS n_sources, min(ts) AS first_seen, max(ts) AS last_seen FROM ce GROUP BY lower(actor)),
+iss AS (SELECT substr(sha256('Issue::' || subject), 1, 12) AS entity_id, 'Issue' AS entity_type, subject AS canonical_name, '' AS aliases, count(DISTINCT source_id) AS n_sources, min(ts) AS first_seen, max(ts) AS last_seen FROM ce GROUP BY subject),
+lab AS (SELECT substr(sha256('Label::' || lower(label)), 1, 12) AS entity_id, 'Label' AS entity_type, arg_min(label, seq) AS canonical_name, string_agg(DISTINCT label, ',' ORDER BY label) AS aliases,
+  count(DISTINCT source_id) AS n_sources, arg_min(ts, seq) AS first_seen, arg_min(ts, seq) AS last_seen FROM ce WHERE label IS NOT NULL GROUP BY lower(label)),
+ent AS (SELECT * FROM per UNION ALL SELECT * FROM iss UNION ALL SELECT * FROM lab), ali AS (SELECT lower(canonical_name) AS alias, entity_id FROM ent)"""
+CLAIMS = CE + """, raw AS (SELECT seq, subject, source_id, ts,
+  CASE event_type WHEN 'AssignedTo' THEN 'Assignment' WHEN 'Unassigned' THEN 'OwnershipChange' WHEN 'LabelAdded' THEN 'Reference' WHEN 'LabelRemoved' THEN 'Reference' ELSE 'StatusChange' END AS claim_type,
+  CASE event_type WHEN 'IssueCreated' THEN 'created_by' WHEN 'IssueClosed' THEN 'closed_by' WHEN 'IssueReopened' THEN 'reopened_by' WHEN 'AssignedTo' THEN 'assigned_to' WHEN 'Unassigned' THEN 'unassigned' WHEN 'LabelAdded' THEN 'labeled' ELSE 'label_removed' END AS predicate,
+  CASE WHEN event_type LIKE 'Issue%' THEN actor WHEN label IS NOT NULL THEN label ELSE coalesce(assignee, actor) END AS object,
+  CASE event_type WHEN 'IssueClosed' THEN 'closed' WHEN 'IssueCreated' THEN 'open' WHEN 'IssueReopened' THEN 'open' END AS value,
+  CASE WHEN event_type IN ('AssignedTo', 'Unassigned') THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM ce WHERE event_type <> 'CommentAdded'),
+cl AS (SELECT substr(sha256(concat_ws('::', claim_type, subject, predicate, object, coalesce(value, ''), source_id)), 1, 12) AS claim_id, *,
+  subject || ' ' || replace(replace(predicate, 'unassigned', 'unassigned from'), '_', ' ') || ' ' || object AS excerpt, 'active' AS status,
+  substr(sha256(concat_ws('::', claim_type, subject, predicate, object, coalesce(value, 'None'))), 1, 16) AS content_hash, ts AS created_at FROM raw)"""
+COM = """com AS (SELECT 'issue_' || conv_id AS subject, conv_id * 100 + turn AS seq, role AS actor, substr(sha256('turn::' || (conv_id * 100 + turn)), 1, 16) AS source_id,
+  text || ' #' || ((conv_id * 100 + turn) % 50) || CASE WHEN (conv_id * 100 + turn) % 5 = 0 THEN ' Approved' ELSE '' END || CASE WHEN (conv_id * 100 + turn) % 7 = 0 THEN ' duplicate' ELSE '' END AS body FROM conversations)"""
+VEC = "v AS (SELECT vec_id AS id, label AS block, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
+
+
+def query(sql: str = "", name: str = "") -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def ce(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_events(table(spark, d, "events"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+# ---- events and time
+
+
+@query(f"WITH {CE} SELECT * FROM ce")
+def events_canonical(spark, d):
+    return ce(spark, d)
+
+
+@query(f"WITH {STATE} SELECT * FROM st")
+def state_intervals(spark, d):
+    return T.state_intervals(ce(spark, d))
+
+
+PROBES = ("2024-01-05T00:00:00.000000Z", "2024-01-15T12:00:00.000000Z", "2024-01-28T06:30:00.000000Z")
+
+
+def probes(spark, d):
+    return ce(spark, d).select(F.col("subject").alias("issue_id")).distinct().withColumn("at", F.explode(F.array(*map(F.lit, PROBES))))
+
+
+_PROBE = "pr AS (SELECT DISTINCT subject AS issue_id, \"at\" FROM ce, (VALUES " + ", ".join(f"('{p}')" for p in PROBES) + ") x(\"at\"))"
+
+
+@query(f"""WITH {STATE}, {_PROBE} SELECT pr.issue_id, pr."at", coalesce(arg_max(state, (valid_from, seq)), 'unknown') AS state FROM pr
+LEFT JOIN st ON st.issue_id = pr.issue_id AND valid_from <= pr."at" AND (valid_until IS NULL OR valid_until > pr."at") GROUP BY ALL""")
+def state_asof(spark, d):
+    return T.state_as_of(probes(spark, d), T.state_intervals(ce(spark, d)))
+
+
+def _lifo(opens: str, closes: str, value: str) -> str:
+    return f"""s1 AS (SELECT subject, {value} AS value, source_id, seq, ts, CASE WHEN event_type = '{opens}' THEN 1 ELSE -1 END AS step FROM ce WHERE event_type IN ('{opens}', '{closes}') AND coalesce({value}, '') <> ''),
+s2 AS (SELECT *, sum(step) OVER w AS level FROM s1 WINDOW w AS (PARTITION BY subject, value ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+s3 AS (SELECT *, level - least(0, min(level) OVER w) AS depth FROM s2 WINDOW w AS (PARTITION BY subject, value ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+s4 AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY subject, value ORDER BY ts, seq), 0) AS before FROM s3),
+s5 AS (SELECT *, lead(ts) OVER (PARTITION BY subject, value, CASE WHEN step = 1 THEN depth ELSE before END ORDER BY ts, seq) AS valid_until FROM s4 WHERE step = 1 OR before > 0),
+iv AS (SELECT subject AS issue_id, value, source_id, seq, ts AS valid_from, valid_until FROM s5 WHERE step = 1)"""
+
+
+@query(f"WITH {CE}, {_lifo('AssignedTo', 'Unassigned', 'assignee')} SELECT * FROM iv")
+def assignment_intervals(spark, d):
+    return T.paired_intervals(ce(spark, d), "AssignedTo", "Unassigned", "assignee")
+
+
+@query(f"WITH {CE}, {_lifo('LabelAdded', 'LabelRemoved', 'label')} SELECT * FROM iv")
+def label_intervals(spark, d):
+    return T.paired_intervals(ce(spark, d), "LabelAdded", "LabelRemoved", "label")
+
+
+def _held(opens: str, closes: str, value: str) -> str:
+    return f"""WITH {CE}, {_PROBE}, {_lifo(opens, closes, value)} SELECT pr.issue_id, pr."at", coalesce(string_agg(DISTINCT value, ',' ORDER BY value), '') AS held FROM pr
+LEFT JOIN iv ON iv.issue_id = pr.issue_id AND valid_from <= pr."at" AND (valid_until IS NULL OR valid_until > pr."at") GROUP BY ALL"""
+
+
+@query(_held("AssignedTo", "Unassigned", "assignee"))
+def asof_assignees(spark, d):
+    return T.values_as_of(probes(spark, d), assignment_intervals(spark, d))
+
+
+@query(_held("LabelAdded", "LabelRemoved", "label"))
+def asof_labels(spark, d):
+    return T.values_as_of(probes(spark, d), label_intervals(spark, d))
+
+
+@query(f"WITH {CE} SELECT seq, source_id, subject, ts, event_type FROM ce WHERE subject = 'issue_7' AND event_type = 'CommentAdded' ORDER BY seq LIMIT 20 OFFSET 2")
+def events_page(spark, d):
+    return K.page(K.listed(ce(spark, d), subject="issue_7", event_type="CommentAdded"), "seq", 2, 20).select("seq", "source_id", "subject", "ts", "event_type")
+
+
+# ---- conflicts
+
+
+def snapshot_closed(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("v")).where("user_id % 3 = 0").select(F.concat(F.lit("issue_"), F.col("user_id")).alias("issue_id"))
+
+
+@query(f"""WITH {CE} SELECT 'state_consistency_gap' AS conflict_type, 'medium' AS severity, subject AS issue_id, arg_max(ts, seq) AS created_at FROM ce WHERE event_type = 'IssueCreated'
+AND CAST(substr(subject, 7) AS INT) % 3 = 0 AND seq < 400 AND subject NOT IN (SELECT subject FROM ce WHERE event_type = 'IssueClosed' AND seq < 400) GROUP BY subject""")
+def conflict_consistency(spark, d):
+    return X.consistency(ce(spark, d).where("seq < 400"), snapshot_closed(spark, d))
+
+
+_IRR = STATE + """, g AS (SELECT *, lag(state) OVER w AS was, (epoch_us(CAST(valid_from AS TIMESTAMP)) - epoch_us(CAST(lag(valid_from) OVER w AS TIMESTAMP))) / 1e6 AS gap FROM st WINDOW w AS (PARTITION BY issue_id ORDER BY valid_from, seq)),
+irr AS (SELECT issue_id, count(*) FILTER (was = 'closed' AND state = 'open') AS reopen_count, count(*) FILTER (was = state) AS redundant_count, count(*) FILTER (was <> state AND abs(gap) < 3600) AS flap_count,
+  string_agg(state || '@' || valid_from, ' → ' ORDER BY valid_from, seq) AS path FROM g GROUP BY issue_id HAVING reopen_count + redundant_count + flap_count > 0),
+x2 AS (SELECT 'state_irregularity' AS conflict_type, CASE WHEN reopen_count > 1 OR flap_count > 0 THEN 'high' ELSE 'medium' END AS severity, * FROM irr)"""
+
+
+@query(f"WITH {_IRR} SELECT * FROM x2")
+def conflict_irregularity(spark, d):
+    return X.irregularity(state_intervals(spark, d), 3600.0)
+
+
+_RAPID = """x3 AS (SELECT * FROM (SELECT 'rapid_closure' AS conflict_type, CASE WHEN m > 5 THEN 'low' ELSE 'medium' END AS severity, issue_id, created_at, closed_at, round_even(m, 1) AS minutes FROM (
+  SELECT *, (epoch_us(CAST(closed_at AS TIMESTAMP)) - epoch_us(CAST(created_at AS TIMESTAMP))) / 1e6 / 60 AS m FROM (
+  SELECT subject AS issue_id, arg_max(ts, seq) FILTER (event_type = 'IssueCreated') AS created_at, arg_max(ts, seq) FILTER (event_type = 'IssueClosed') AS closed_at FROM ce GROUP BY subject)) WHERE m > 0 AND m <= 2880))"""
+
+
+@query(f"WITH {CE}, {_RAPID} SELECT * FROM x3")
+def conflict_rapid_closure(spark, d):
+    return X.rapid_closure(ce(spark, d), 2880.0)
+
+
+_DUP = "x4 AS (SELECT 'duplicate_label' AS conflict_type, 'low' AS severity, subject AS issue_id, label, count(*) AS times, string_agg(ts, ',' ORDER BY seq) AS added_at FROM ce WHERE event_type = 'LabelAdded' GROUP BY subject, label HAVING times >= 2)"
+
+
+@query(f"WITH {CE}, {_DUP} SELECT * FROM x4")
+def conflict_duplicate_label(spark, d):
+    return X.duplicate_labels(ce(spark, d))
+
+
+_CON = """x5 AS (SELECT 'contradictory_claims' AS conflict_type, 'high' AS severity, subject AS issue_id, predicate, count(*) AS n_claims, string_agg(DISTINCT coalesce(nullif(value, ''), object), ',' ORDER BY coalesce(nullif(value, ''), object)) AS "values"
+  FROM cl GROUP BY subject, predicate HAVING n_claims >= 2 AND count(DISTINCT coalesce(nullif(value, ''), object)) > 1)"""
+
+
+@query(f"WITH {CLAIMS}, {_CON} SELECT * FROM x5")
+def conflict_contradictory_claims(spark, d):
+    return X.contradictions(C.event_claims(ce(spark, d)))
+
+
+_OWN = """x6 AS (SELECT 'ownership_change' AS conflict_type, CASE WHEN count(*) > 2 THEN 'medium' ELSE 'low' END AS severity, subject AS issue_id, string_agg(assignee, ',' ORDER BY s) AS owners
+  FROM (SELECT subject, assignee, min(seq) AS s FROM ce WHERE event_type = 'AssignedTo' GROUP BY ALL) GROUP BY subject HAVING count(*) > 1)"""
+
+
+@query(f"WITH {CE}, {_OWN} SELECT * FROM x6")
+def conflict_ownership(spark, d):
+    return X.ownership(ce(spark, d))
+
+
+@query(f"""WITH {CE}, a AS (SELECT *, hash_order % 97 AS arrival FROM (SELECT *, seq * 31 AS hash_order FROM ce)), b AS (SELECT *, lag(ts) OVER (PARTITION BY subject ORDER BY arrival, seq) AS before FROM a)
+SELECT 'temporal_anomaly' AS conflict_type, 'low' AS severity, subject AS issue_id, source_id, before, ts FROM b WHERE ts < before""")
+def conflict_out_of_order_arrival(spark, d):
+    return X.out_of_order(ce(spark, d).withColumn("arrival", F.struct(F.col("seq") * 31 % 97, "seq")), "arrival")
+
+
+@query(f"WITH {CE} SELECT 'temporal_anomaly' AS conflict_type, 'low' AS severity, subject AS issue_id, source_id, ts AS before, ts FROM ce WHERE false")
+def conflict_temporal(spark, d):
+    return X.out_of_order(ce(spark, d).withColumn("sorted", F.struct("ts", "seq")), "sorted")
+
+
+@query(f"""WITH {_IRR}, {_RAPID}, {_DUP}, {_OWN}, every AS (SELECT conflict_type, severity FROM x2 UNION ALL SELECT conflict_type, severity FROM x3 UNION ALL SELECT conflict_type, severity FROM x4 UNION ALL SELECT conflict_type, severity FROM x6)
+SELECT coalesce(severity, '*') AS severity, coalesce(conflict_type, '*') AS conflict_type, count(*) AS n FROM every GROUP BY GROUPING SETS ((severity), (conflict_type), ())""")
+def conflict_summary(spark, d):
+    return X.rollup([f(spark, d) for f in (conflict_irregularity, conflict_rapid_closure, conflict_duplicate_label, conflict_ownership)])
+
+
+# ---- claims
+
+_CLAIM_COLUMNS = "claim_id, claim_type, subject, predicate, object, value, confidence, excerpt, source_id, status, content_hash, created_at, seq"
+
+
+def _claims_of_kind(name: str, *kinds: str) -> None:
+    quoted = ", ".join(f"'{k}'" for k in kinds)
+
+    @query(f"WITH {CLAIMS} SELECT {_CLAIM_COLUMNS} FROM cl WHERE claim_type IN ({quoted})", name)
+    def run(spark, d):
+        return C.event_claims(ce(spark, d)).where(F.col("claim_type").isin(*kinds))
+
+
+_claims_of_kind("claims_rule_status", "StatusChange")
+_claims_of_kind("claims_rule_assignment", "Assignment", "OwnershipChange")
+_claims_of_kind("claims_rule_labels", "Reference")
+
+
+def _comment_claims(kind: str, inner: str) -> str:
+    return f"""WITH {COM}, r AS ({inner}), c AS (SELECT substr(sha256(concat_ws('::', '{kind}', subject, predicate, object, coalesce(value, ''), source_id)), 1, 12) AS claim_id, '{kind}' AS claim_type, subject, predicate, object, value,
+confidence, substr(body, 1, 300) AS excerpt, source_id, seq, row_number() OVER (PARTITION BY subject, predicate, object, value, source_id ORDER BY seq) AS n FROM r) SELECT * EXCLUDE (n) FROM c WHERE n = 1"""
+
+
+def _from_comments(spark, d, kind):
+    return C.comment_claims(comments(table(spark, d, "conversations"))).where(F.col("claim_type") == kind).drop("status", "content_hash", "created_at")
+
+
+@query(_comment_claims("Reference", "SELECT *, 'references' AS predicate, 'issue_' || unnest(regexp_extract_all(body, '#(\\d+)', 1)) AS object, NULL::VARCHAR AS value, 0.75::DOUBLE AS confidence FROM com"))
+def claims_rule_references(spark, d):
+    return _from_comments(spark, d, "Reference")
+
+
+@query(_comment_claims("Decision", "SELECT com.*, 'decision_' || w AS predicate, actor AS object, w AS value, 0.6::DOUBLE AS confidence FROM com, (SELECT unnest(" + str(list(C.DECISIONS)) + ") AS w) WHERE contains(lower(body), w)"))
+def claims_rule_decisions(spark, d):
+    return _from_comments(spark, d, "Decision")
+
+
+@query(_comment_claims("Generic", "SELECT *, 'discussed_by' AS predicate, actor AS object, NULL::VARCHAR AS value, 0.8::DOUBLE AS confidence FROM com").replace("substr(body, 1, 300) AS excerpt", "actor || ' commented on ' || subject AS excerpt"))
+def claims_rule_discussion(spark, d):
+    return _from_comments(spark, d, "Generic")
+
+
+@query(f"""WITH {STATE}, s AS (SELECT issue_id, arg_min(valid_from, (valid_from, seq)) FILTER (state = 'open') AS o, arg_max(valid_from, (valid_from, seq)) FILTER (state = 'closed') AS c, arg_max(actor, (valid_from, seq)) FILTER (state = 'closed') AS who FROM st GROUP BY issue_id),
+m AS (SELECT *, (epoch_us(CAST(c AS TIMESTAMP)) - epoch_us(CAST(o AS TIMESTAMP))) / 1e6 / 60 AS minutes FROM s)
+SELECT issue_id AS subject, 'rapid_closure' AS predicate, who AS object, 'closed_in_' || CAST(round_even(minutes, 0) AS BIGINT) || '_min' AS value, 0.85::DOUBLE AS confidence FROM m WHERE minutes > 0 AND minutes <= 40000""")
+def claims_rule_rapid_closure(spark, d):
+    return C.rapid_closure_claims(state_intervals(spark, d), 40000.0)
+
+
+@query("""WITH c AS (SELECT doc_id, CAST(0.2 + 0.6 * quality - 0.1 * toxic AS DOUBLE) AS confidence FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, round(confidence, 6) AS confidence, 1 AS n_evidence, confidence >= 0.3 AS passes, confidence < 0.4 AS needs_review FROM c""")
+def claims_quality_gate(spark, d):
+    raw = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id")
+    return C.quality_gate(raw.select("doc_id", F.round(0.2 + 0.6 * F.col("quality") - 0.1 * F.col("toxic"), 6).alias("confidence"), F.lit(1).alias("n_evidence")))
+
+
+_TYPES = ", ".join(f"'{t}'" for t in C.TYPES)
+
+
+@query(f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Decision' WHEN doc_id % 3 = 1 THEN 'Made up' END AS t, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'says' END AS p, CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE CAST(doc_id % 13 / 10.0 AS VARCHAR) END AS c, text FROM documents),
+k AS (SELECT doc_id, CASE WHEN t IN ({_TYPES}) THEN t ELSE 'Generic' END AS claim_type, p, greatest(0, least(1, coalesce(TRY_CAST(c AS DOUBLE), 0.5))) AS confidence, substr(text, 1, 500) AS excerpt FROM r)
+SELECT doc_id, claim_type, coalesce(nullif(p, ''), lower(claim_type)) AS predicate, confidence, excerpt FROM k WHERE confidence >= 0.3""")
+def claims_validated(spark, d):
+    i = F.col("doc_id")
+    raw = table(spark, d, "documents").select(
+        "doc_id", F.when(i % 3 == 0, "Decision").when(i % 3 == 1, "Made up").alias("claim_type"), F.when(i % 4 == 0, "").otherwise("says").alias("predicate"),
+        F.when(i % 5 == 0, "high").otherwise((i % 13 / 10).cast("string")).alias("confidence"), F.lit(None).cast("string").alias("subject"), F.col("text").alias("excerpt"),
+    )
+    return C.validated(raw).select("doc_id", "claim_type", "predicate", "confidence", "excerpt")
+
+
+@query(f"WITH {COM} SELECT seq, subject FROM com WHERE length(trim(body)) >= 20 AND (contains(body, '#') OR contains(lower(body), 'issue'))")
+def signal_filter(spark, d):
+    return C.signal_comments(comments(table(spark, d, "conversations"))).select("seq", "subject")
+
+
+@query(f"WITH {CLAIMS} SELECT {_CLAIM_COLUMNS} FROM cl WHERE contains(lower(concat_ws(' ', subject, predicate, object, value)), 'label_3') OR contains(lower(excerpt), 'label_3')")
+def claim_search(spark, d):
+    return K.search_claims(C.event_claims(ce(spark, d)), "label_3")
+
+
+@query(f"WITH {CLAIMS} SELECT {_CLAIM_COLUMNS} FROM cl WHERE lower(subject) IN ('user_3', 'issue_5') OR lower(object) IN ('user_3', 'issue_5')")
+def claims_for_entity(spark, d):
+    return K.claims_of(C.event_claims(ce(spark, d)), spark.createDataFrame([("user_3",), ("issue_5",)], "name string"))
+
+
+@query(f"""WITH {CLAIMS} SELECT count(*) AS total_claims, count(*) FILTER (status = 'active') AS active_claims, round_even(avg(confidence), 3) AS average_confidence, count(*) FILTER (excerpt <> '') AS claims_with_evidence, 1.0::DOUBLE AS evidence_coverage FROM cl""")
+def metrics(spark, d):
+    return K.metrics(C.event_claims(ce(spark, d)))
+
+
+# ---- entities and graph
+
+
+def _entities(name: str, sql: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    query(f"WITH {ENT} SELECT * FROM {sql}", name)(lambda spark, d: run(ce(spark, d)))
+
+
+_entities("entities_person", "per", E.persons)
+_entities("entities_issue", "iss", E.issues)
+_entities("entities_label", "lab", E.labels)
+_entities("alias_map", "ali", lambda e: E.alias_map(E.all_entities(e)))
+_entities("entity_search", "ent WHERE contains(lower(canonical_name), 'user_1') OR contains(lower(aliases), 'user_1')", lambda e: E.search(E.all_entities(e), "User_1"))
+_entities("entity_lookup", "ent WHERE canonical_name = 'issue_9'", lambda e: K.lookup(E.all_entities(e), "canonical_name", "issue_9"))
+
+
+@query(f"WITH {ENT} SELECT entity_id AS id, canonical_name AS label, entity_type AS type, CASE entity_type WHEN 'Person' THEN '#4CAF50' WHEN 'Issue' THEN '#2196F3' ELSE '#FF9800' END AS color, first_seen, last_seen FROM ent")
+def graph_nodes(spark, d):
+    return G.nodes(E.all_entities(ce(spark, d)))
+
+
+_EDGES = ENT + """, ends AS (SELECT source_id, ts, CASE event_type WHEN 'IssueCreated' THEN 'created' WHEN 'AssignedTo' THEN 'assigned_to' WHEN 'LabelAdded' THEN 'labeled' WHEN 'CommentAdded' THEN 'commented' END AS type,
+  CASE WHEN event_type IN ('IssueCreated', 'CommentAdded') THEN actor ELSE subject END AS a, CASE event_type WHEN 'AssignedTo' THEN assignee WHEN 'LabelAdded' THEN label ELSE subject END AS b FROM ce),
+ed AS (SELECT x.entity_id AS from_id, y.entity_id AS to_id, type, source_id, ts FROM ends JOIN ali x ON x.alias = lower(a) JOIN ali y ON y.alias = lower(b) WHERE type IS NOT NULL)"""
+
+
+@query(f"WITH {_EDGES} SELECT * FROM ed")
+def graph_edges(spark, d):
+    events = ce(spark, d)
+    return G.event_edges(events, E.alias_map(E.all_entities(events)))
+
+
+@query(f"""WITH {ENT.replace(CE, CLAIMS)} SELECT x.entity_id AS from_id, coalesce(y.entity_id, 'claim_' || claim_id) AS to_id, predicate AS label, claim_id, confidence FROM cl JOIN ali x ON x.alias = lower(subject) LEFT JOIN ali y ON y.alias = lower(object)""")
+def graph_claim_edges(spark, d):
+    events = ce(spark, d)
+    return G.claim_edges(C.event_claims(events), E.alias_map(E.all_entities(events)))
+
+
+_ORDERS = "e AS (SELECT 'c' || o_custkey AS from_id, 'o' || o_orderkey AS to_id FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"
+
+
+def order_edges(spark, d):
+    placed = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("from_id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("to_id"))
+    return placed.unionByName(table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("to_id")))
+
+
+def _neighbours(depth: int) -> None:
+    steps, met = [], []
+    frontier = "f0"
+    steps.append("f0 AS (SELECT 'c7' AS id), v0 AS (SELECT 'c7' AS id)")
+    for k in range(1, depth + 1):
+        steps.append(f"m{k} AS (SELECT to_id AS id FROM e JOIN {frontier} ON from_id = id UNION ALL SELECT from_id FROM e JOIN {frontier} ON to_id = id), f{k} AS (SELECT DISTINCT id FROM m{k} WHERE id NOT IN (SELECT id FROM v{k - 1})), v{k} AS (SELECT id FROM v{k - 1} UNION ALL SELECT id FROM f{k})")
+        met.append(f"(SELECT count(*) FROM m{k})")
+        frontier = f"f{k}"
+
+    @query(f"WITH {_ORDERS}, {', '.join(steps)} SELECT id, {' + '.join(met)} AS edges_met FROM v{depth}", f"graph_neighbors_d{depth}")
+    def run(spark, d):
+        nodes, met_edges = G.neighbours(order_edges(spark, d), "c7", depth)
+        return nodes.join(met_edges.agg(F.count("*").alias("edges_met")), F.lit(True))
+
+
+for _depth in (1, 2, 3):
+    _neighbours(_depth)
+
+
+# ---- deduplication, vectors, store
+
+
+@query("SELECT min(doc_id) AS kept, count(*) AS copies, sha256(text) AS text_sha FROM documents GROUP BY text")
+def exact_text_dedup(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
+
+
+@query(f"WITH {VEC} SELECT x.id AS a, y.id AS b, round(list_dot_product(x.vector, y.vector), 6) AS sim FROM v x JOIN v y ON x.block = y.block AND x.id < y.id WHERE list_dot_product(x.vector, y.vector) >= 0.35")
+def vector_pairs(spark, d):
+    return S.pairs(vectors(spark, d), 0.35).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {VEC}, q AS (SELECT vector FROM v WHERE id = 0) SELECT id, round(list_dot_product(v.vector, q.vector), 6) AS sim FROM v, q ORDER BY list_dot_product(v.vector, q.vector) DESC, id LIMIT 10")
+def vector_topk(spark, d):
+    asked = vectors(spark, d).where("id = 0").select("vector").first()[0]
+    return S.nearest(vectors(spark, d), list(asked), 10).withColumn("sim", F.round("sim", 6))
+
+
+def _members(spark, d):
+    return S.leaders(vectors(spark, d), 0.35)
+
+
+@query()
+def leader_clusters(spark, d):
+    return _members(spark, d).withColumn("sim", F.round("sim", 6))
+
+
+@query()
+def cluster_merge(spark, d):
+    own = _members(spark, d).withColumn("confidence", F.col("id") % 10 / 10).withColumn("evidence", F.concat(F.lit("e"), F.col("id")))
+    return S.merged(own).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def merge_log(spark, d):
+    return S.merge_log(_members(spark, d), "claim")
+
+
+@query()
+def merge_reverse(spark, d):
+    members = _members(spark, d)
+    log = S.merge_log(members, "claim")
+    rows = vectors(spark, d).select("id", "block")
+    kept = rows.join(members.where("id <> leader").select("id"), "id", "left_anti")
+    snapshots = members.join(log.select("merge_id", F.col("target_id").alias("leader")), "leader").join(rows, "id").select("merge_id", "id", "block")
+    return K.reverse_merges(log, kept, snapshots, log.where("target_id % 2 = 0").select("merge_id"))[1]
+
+
+@query("""WITH n AS (SELECT o_orderkey + 5 AS k, 'new' AS s FROM orders WHERE o_orderkey % 10 = 0), c AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders)
+SELECT k, s FROM c WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT k, s FROM n""")
+def upsert_latest(spark, d):
+    current = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    new = current.where("k % 10 = 0").select((F.col("k") + 5).alias("k"), F.lit("new").alias("s"))
+    return K.upsert(current, new, "k")
+
+
+@query("""WITH n AS (SELECT o_orderkey + 5 AS k, 'new' AS s FROM orders WHERE o_orderkey % 10 = 0), c AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders)
+SELECT k, s FROM c UNION ALL SELECT k, s FROM n WHERE k NOT IN (SELECT k FROM c)""")
+def ingest_missing(spark, d):
+    current = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    return K.insert_missing(current, current.where("k % 10 = 0").select((F.col("k") + 5).alias("k"), F.lit("new").alias("s")), "k")
+
+
+@query(f"WITH {CLAIMS}, n AS (SELECT claim_id, min(seq) OVER () AS lo FROM cl WHERE predicate = 'closed_by') SELECT c.claim_id, CASE WHEN predicate = 'closed_by' THEN 'superseded' ELSE status END AS status, CASE WHEN predicate = 'closed_by' THEN 'new_' || c.claim_id END AS superseded_by FROM cl c")
+def supersede(spark, d):
+    claims = C.event_claims(ce(spark, d))
+    replaced = claims.where("predicate = 'closed_by'").select("claim_id", F.concat(F.lit("new_"), F.col("claim_id")).alias("superseded_by"))
+    return K.supersede(claims, replaced).select("claim_id", "status", "superseded_by")
+
+
+@query(f"WITH {CE} SELECT subject, event_type, min(seq) AS seq, arg_min(source_id, seq) AS source_id FROM ce GROUP BY subject, event_type")
+def first_wins(spark, d):
+    return first_of(ce(spark, d), ["subject", "event_type"]).select("subject", "event_type", "seq", "source_id")
+
+
+# ---- retrieval
+
+QUESTIONS = [(1, "Who was assigned to issue_12 and is it closed?"), (2, "What label_3 changes did user_4 make in issue 7?"), (3, "Which issues were reopened by user_11?")]
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_Q = "qs(qid, question) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + f""", (0, '')), q AS (SELECT qid, list_filter(regexp_extract_all(lower(question), '\\w+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS words,
+  list_transform(list_concat(regexp_extract_all(lower(question), '#(\\d+)', 1), regexp_extract_all(lower(question), 'issue[_\\s]?(\\d+)', 1)), lambda n: 'issue_' || n) AS refs FROM qs WHERE qid > 0)"""
+
+
+def questions(spark):
+    return R.question_words(spark.createDataFrame(QUESTIONS, "qid int, question string"))
+
+
+@query(f"WITH {_Q} SELECT qid, array_to_string(words, ',') AS words, array_to_string(refs, ',') AS refs FROM q")
+def retrieve_keywords(spark, d):
+    return questions(spark).select("qid", F.array_join("words", ",").alias("words"), F.array_join("refs", ",").alias("refs"))
+
+
+_RES = f"""{_Q}, re0 AS (SELECT qid, entity_id, lower(canonical_name) AS name, CASE WHEN list_contains(refs, lower(canonical_name)) THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM ent, q
+  WHERE list_contains(refs, lower(canonical_name)) OR len(list_filter(words, lambda w: contains(lower(canonical_name), w))) > 0),
+res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) AS place FROM re0) WHERE place <= 10)"""
+
+
+@query(f"WITH {ENT}, {_RES} SELECT * FROM res")
+def retrieve_entities(spark, d):
+    return R.resolve(questions(spark), E.all_entities(ce(spark, d)))
+
+
+_TOP = f"""{_RES}, en AS (SELECT DISTINCT claim_id, unnest([lower(subject), lower(coalesce(object, ''))]) AS name FROM cl), li AS (SELECT qid, claim_id, count(DISTINCT entity_id) AS n FROM en JOIN res USING (name) GROUP BY ALL),
+sc AS (SELECT q.qid, cl.claim_id, subject, source_id, excerpt, round(0.7::DOUBLE * coalesce(n, 0) + 0.3::DOUBLE * len(list_filter(words, lambda w: contains(lower(predicate || ' ' || coalesce(value, 'None')), w))) + 0.2::DOUBLE * len(list_filter(words, lambda w: contains(lower(excerpt), w))) + 0.2::DOUBLE * confidence, 6) AS s
+  FROM cl CROSS JOIN q LEFT JOIN li ON li.qid = q.qid AND li.claim_id = cl.claim_id),
+top AS (SELECT qid, claim_id, subject, source_id, excerpt, round_even(s, 3) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, claim_id) AS place FROM sc WHERE s > 0.2) WHERE place <= 15)"""
+_CE_CL = ENT.replace(CE, CLAIMS)
+
+
+def _top(spark, d):
+    events, words = ce(spark, d), questions(spark)
+    resolved = R.resolve(words, E.all_entities(events))
+    return R.score_claims(words, resolved, C.event_claims(events)), resolved, events
+
+
+@query(f"WITH {_CE_CL}, {_TOP} SELECT * FROM top")
+def retrieve_claims(spark, d):
+    return _top(spark, d)[0]
+
+
+_EVI = f"""{_TOP}, ev0 AS (SELECT qid, source_id, claim_id AS from_claim, lower(subject) AS issue_id, 0 AS kind, CAST(place AS BIGINT) AS ord FROM top WHERE excerpt <> ''
+  UNION ALL SELECT qid, source_id, NULL, lower(subject), 1, seq FROM ce JOIN (SELECT DISTINCT qid, name FROM res) r ON r.name = lower(subject)),
+ev1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY kind, ord) AS n FROM ev0) WHERE n = 1),
+evi AS (SELECT * EXCLUDE (n, ord) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kind, ord, source_id) AS place FROM ev1) WHERE place <= 30)"""
+
+
+@query(f"WITH {_CE_CL}, {_EVI} SELECT * FROM evi")
+def retrieve_evidence(spark, d):
+    top, resolved, events = _top(spark, d)
+    return R.evidence(top, events, resolved)
+
+
+@query(f"""WITH {_CE_CL}, {_EVI}, nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, issue_id ORDER BY place) AS n FROM evi WHERE kind = 1) WHERE n <= 3),
+src AS (SELECT qid, from_claim AS claim_id, source_id, place AS p FROM evi WHERE kind = 0 UNION ALL SELECT top.qid, claim_id, nr.source_id, nr.place FROM top JOIN nr ON nr.qid = top.qid AND nr.issue_id = lower(subject)),
+ag AS (SELECT qid, claim_id, string_agg(source_id, ',' ORDER BY p, source_id) AS sources FROM src GROUP BY ALL)
+SELECT top.qid, place AS rank, top.claim_id, score, coalesce(sources, '') AS sources, CASE WHEN sources IS NULL THEN 'ungrounded' ELSE 'grounded' END AS grounding FROM top LEFT JOIN ag ON ag.qid = top.qid AND ag.claim_id = top.claim_id WHERE place <= 10""")
+def retrieve_items(spark, d):
+    top, resolved, events = _top(spark, d)
+    return R.items(top, R.evidence(top, events, resolved))
+
+
