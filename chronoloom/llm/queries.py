@@ -82,15 +82,15 @@ _LIST_SQL = ", ".join(f"('{k}', '{v}', '{a}', epoch(TIMESTAMP '{d}'), '{r}')" fo
 
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": f"""
-WITH raw(kind, value, action, at, reason) AS (VALUES {_LIST_SQL}),
-one AS (SELECT kind, value, at, max(action) AS action, arg_max(reason, action) AS reason FROM raw GROUP BY ALL),
-spans AS (SELECT *, lead(at) OVER (PARTITION BY kind, value ORDER BY at) AS until FROM one),
+WITH raw(kind, value, action, listed, reason) AS (VALUES {_LIST_SQL}),
+one AS (SELECT kind, value, listed, max(action) AS action, arg_max(reason, action) AS reason FROM raw GROUP BY ALL),
+spans AS (SELECT *, lead(listed) OVER (PARTITION BY kind, value ORDER BY listed) AS until FROM one),
 rules AS (SELECT * FROM spans WHERE action = 'add'),
 p AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\\.+$', ''), '') AS host,
       1704067200 + (page_id * 7919 % 8784) * 3600 AS fetched_s FROM pages),
-m AS (SELECT page_id, p.host, fetched_s, rules.* FROM p LEFT JOIN rules ON at <= fetched_s AND (until IS NULL OR fetched_s < until)
+m AS (SELECT page_id, p.host, fetched_s, rules.* FROM p LEFT JOIN rules ON listed <= fetched_s AND (until IS NULL OR fetched_s < until)
       AND (p.host = value OR (kind = 'domain' AND ends_with(p.host, '.' || value)))),
 b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(value) DESC, kind DESC) AS k FROM m)
-SELECT page_id, host, CAST(fetched_s AS BIGINT) AS fetched_s, value IS NOT NULL AS blocked, kind AS rule_kind, value AS rule_value, reason, CAST(at AS BIGINT) AS listed_s FROM b WHERE k = 1
+SELECT page_id, host, CAST(fetched_s AS BIGINT) AS fetched_s, value IS NOT NULL AS blocked, kind AS rule_kind, value AS rule_value, reason, CAST(listed AS BIGINT) AS listed_s FROM b WHERE k = 1
 """,
 }

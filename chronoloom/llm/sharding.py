@@ -89,12 +89,13 @@ def digest(assigned: DataFrame) -> DataFrame:
     return assigned.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: DuckDB SQL for doc_id, shard, slot and size; CRC-32 is not in DuckDB.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, coalesce(text, '') AS text,
        coalesce('=' || source, 'null') AS stratum,
        CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS key FROM documents),
 r AS (SELECT *, (2.0::DOUBLE * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id) - 1.0) / (2.0::DOUBLE * count(*) OVER (PARTITION BY stratum)) AS share FROM d),
-a AS (SELECT *, row_number() OVER (ORDER BY share, stratum) - 1 AS at, count(*) OVER () AS total FROM r),
-s AS (SELECT *, CAST(floor(at * {SHARDS} / total::DOUBLE) AS INTEGER) AS shard FROM a)
-SELECT doc_id, shard, at - CAST(ceil(shard * total / {SHARDS}.0::DOUBLE) AS BIGINT) AS slot, size FROM s
+a AS (SELECT *, row_number() OVER (ORDER BY share, stratum) - 1 AS pos, count(*) OVER () AS total FROM r),
+s AS (SELECT *, CAST(floor(pos * {SHARDS} / total::DOUBLE) AS INTEGER) AS shard FROM a)
+SELECT doc_id, shard, pos - CAST(ceil(shard * total / {SHARDS}.0::DOUBLE) AS BIGINT) AS slot, size FROM s
 """
