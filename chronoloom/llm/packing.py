@@ -14,6 +14,7 @@ run again after a lost executor gives the same rows.
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ LENGTH = 4096
 END_ID = 2
 MOST_OPEN = 2048
 TOKENIZER = "word_bpe_49k.json"
+#: Pieces that are encoded at a time.
+CODED = 4096
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -75,6 +78,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -104,7 +108,8 @@ class WordTokens:
                 known[:], where[:] = False, 0
             body, new = memoryview(np.ascontiguousarray(data)), np.flatnonzero(~known)
             texts = [str(body[starts[i] : ends[i]], "utf-8", "replace") for i in first[new]]
-            coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            # The tokenizer's own result of a piece is far larger than its ids, so few are held at a time.
+            coded = [x.ids for k in range(0, len(texts), CODED) for x in self.tokenizer.encode_batch_fast(texts[k : k + CODED], add_special_tokens=False)]
             n = np.fromiter(map(len, coded), np.int64, len(coded))
             place = where[new]
             self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(n) - n)
@@ -235,7 +240,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))
-            for a, z in slices(offsets, 2 * SLICE_BYTES):
+            for a, z in slices(offsets, SLICE_BYTES // 2):
                 tokens, at = coder.encode(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
                 for r in range(a, z):
                     own = np.concatenate([tokens[at[r - a] : at[r - a + 1]], end])
