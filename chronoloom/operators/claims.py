@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.scalar import any_of, clamped, first_truthy, issue_numbers, seconds_between, stable_id, stripped
+from chronoloom.functions.scalar import any_of, clamped, first_truthy, issue_numbers, json_array, seconds_between, stable_id, stripped
 from chronoloom.sources.tables import first_of
 
 #: Words that mark a decision, words that mark a comment worth reading, types a claim can have.
 DECISIONS = ("approved", "merged", "rejected", "wontfix", "resolved", "duplicate", "confirmed", "accepted")
 SIGNALS = ("decision", "decided", "agreed", "approved", "rejected", "blocked", "duplicate", "depends", "fixes", "closes")
 TYPES = ("StatusChange", "Assignment", "Reference", "Decision", "LabelAction", "DependsOn", "Duplicates", "Blocks", "Fixes", "Performance", "OwnershipChange", "Generic")
+#: Types that a model's claim can have; others become Generic.
+EXTRACTED = ("Reference", "DependsOn", "Duplicates", "Blocks", "Fixes", "Decision", "Assignment", "StatusChange", "Performance", "Generic")
 
 
 def claim(kind: str, predicate: str | Column, obj: Column, value: Column, confidence: Column | float, excerpt: Column) -> Column:
@@ -69,7 +73,7 @@ def rapid_closure_claims(intervals: DataFrame, minutes: float = 10.0) -> DataFra
 
 def validated(raw: DataFrame, least: float = 0.3) -> DataFrame:
     """Extracted claims (claim_type, subject, predicate, object, value, confidence, excerpt) brought into form; unfit ones go."""
-    kind = F.when(F.col("claim_type").isin(*TYPES), F.col("claim_type")).otherwise("Generic")
+    kind = F.when(F.col("claim_type").isin(*EXTRACTED), F.col("claim_type")).otherwise("Generic")
     out = raw.withColumn("claim_type", kind).withColumn("predicate", first_truthy(F.col("predicate"), F.lower("claim_type"))).withColumn("confidence", clamped(F.col("confidence")))
     fit = (F.col("confidence") >= least) & (first_truthy(F.col("excerpt"), F.col("subject")).isNotNull())
     return out.where(fit).withColumn("confidence", F.bround("confidence", 3)).withColumn("excerpt", F.substring("excerpt", 1, 500))
@@ -81,6 +85,31 @@ def signal_comments(comments: DataFrame, words: tuple[str, ...] = SIGNALS) -> Da
     return comments.where((F.length(stripped(F.col("body"))) >= 20) & (F.col("body").contains("#") | low.contains("issue") | any_of([low.contains(w) for w in words])))
 
 
+FIELDS = "array<struct<claim_type: string, subject: string, object: string, predicate: string, value: string, confidence: string, excerpt: string>>"
+PROMPT = (
+    "List the relations that this comment on an issue states, as a JSON array and nothing else; [] if there are none. Each has the fields claim_type ("
+    + ", ".join(EXTRACTED)
+    + "), subject, object or null, predicate (a short verb phrase), value or null, confidence (0 to 1) and excerpt (the words of the comment that say so).\n"
+)
+
+
+def prompt(comment: Column, issue: Column, author: Column, most: int = 3000) -> Column:
+    return F.concat(F.lit(PROMPT), F.lit("Issue: "), issue, F.lit("\nAuthor: "), F.coalesce(author, F.lit("unknown")), F.lit("\nComment:\n"), F.substring(comment, 1, most))
+
+
+def extracted(comments: DataFrame, complete: Callable[[Column], Column], least: float = 0.3) -> DataFrame:
+    """Claims that a model finds in comments (subject, seq, actor, source_id, body) worth an extraction, in form, each content once.
+
+    complete gives the model's answer to a prompt. An answer that cannot be read gives no claims. A claim without subject is about its
+    comment's issue. The first of equal claims, by comment and place in the answer, stays.
+    """
+    asked = signal_comments(comments).select("seq", "source_id", F.col("subject").alias("issue_id"), complete(prompt(F.col("body"), F.col("subject"), F.col("actor"))).alias("raw"))
+    found = asked.select("seq", "source_id", "issue_id", F.posexplode(json_array(F.col("raw"), FIELDS)).alias("pos", "c")).where("c is not null")
+    fit = validated(found.select("seq", "pos", "source_id", "issue_id", "c.*"), least).withColumn("subject", F.coalesce("subject", "issue_id"))
+    named = fit.withColumn("content_hash", stable_id(16, F.col("claim_type"), F.col("subject"), F.col("object"), F.col("predicate"), null="None")).withColumn("at", F.struct("seq", "pos"))
+    return first_of(named, ["content_hash"], "at").drop("at", "pos")
+
+
 def quality_gate(claims: DataFrame, least: float = 0.3, review: float = 0.4) -> DataFrame:
     """claims (confidence, n_evidence): adds passes and needs_review."""
     return claims.withColumn("passes", (F.col("confidence") >= least) & (F.col("n_evidence") >= 1)).withColumn("needs_review", F.col("confidence") < review)
