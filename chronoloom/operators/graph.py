@@ -51,6 +51,27 @@ def neighbours(edges: DataFrame, start: str | int, depth: int) -> tuple[DataFram
     return visited, met if met is not None else edges.limit(0)
 
 
+def highlighted(nodes: DataFrame, edges: DataFrame, column: str, values: list) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose column is among the values, and the edges (from_id, to_id) between two of them."""
+    shown = nodes.where(F.col(column).isin(*values))
+    ids = shown.select("id")
+    kept = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return shown, kept.select(*edges.columns)
+
+
+def nodes_of(edges: DataFrame, nodes: DataFrame, column: str, values: list) -> tuple[DataFrame, DataFrame]:
+    """Edges whose column is among the values, and the nodes at their ends."""
+    shown = edges.where(F.col(column).isin(*values))
+    ends = shown.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return nodes.join(ends, "id", "left_semi"), shown
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (node or edge), type, n, and the totals under the type *."""
+    rows = nodes.select(F.lit("node").alias("kind"), "type").unionByName(edges.select(F.lit("edge").alias("kind"), "type"))
+    return rows.groupingSets([["kind", "type"], ["kind"]], "kind", "type").agg(F.count("*").alias("n")).select("kind", F.coalesce("type", F.lit("*")).alias("type"), "n")
+
+
 def html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 500) -> None:
     """A small drawing of at most so many nodes: the limit is the feature, as a page cannot show more."""
     import json

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.scalar import dot, stable_id
@@ -27,14 +25,27 @@ def nearest(vectors: DataFrame, query: list[float], k: int, above: float | None
     return out.where(F.col("sim") > above) if above is not None else out
 
 
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, above: float | None = None) -> DataFrame:
+    """qid, id, sim, place: the k rows nearest to each query (qid, vector), ties by id, then those above a similarity.
+
+    Queries are a stated, small set and broadcast. Each task keeps its k best rows of a query before the shuffle.
+    """
+    asked = F.broadcast(queries.select("qid", F.col("vector").alias("q")))
+    met = vectors.select("id", "vector").join(asked, F.lit(True)).select("qid", "id", dot(F.col("vector"), F.col("q")).alias("sim"))
+    top = met.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= k)
+    return top.where(F.col("sim") > above) if above is not None else top
+
+
 def leaders(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Greedy leader clusters in each block of unit vectors (id, block, vector), by id: id, leader, sim.
+    """Greedy leader clusters in each block of unit vectors (id, block, vector), in the order of seq, if there is one, and id: id, leader, sim.
 
     A row joins the earliest leader that is similar enough, else it leads. A block's leaders are held in memory; blocks are independent.
     """
 
-    def run(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        frame = frames.sort_values("id")
+    order = ["seq", "id"] if "seq" in vectors.columns else ["id"]
+
+    def run(frames: pd.DataFrame) -> pd.DataFrame:
+        frame = frames.sort_values(order)
         rows = np.array(frame.vector.tolist(), np.float64)
         ids, heads, found, sims = frame.id.to_numpy(), [], [], []
         for i in range(len(rows)):
@@ -49,7 +60,8 @@ def leaders(vectors: DataFrame, threshold: float) -> DataFrame:
                 sims.append(1.0)
         return pd.DataFrame({"id": ids, "leader": found, "sim": sims})
 
-    return vectors.select("id", "block", "vector").groupBy("block").applyInPandas(run, "id long, leader long, sim double")
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select(*order, "block", "vector").groupBy("block").applyInPandas(run, f"id {kind}, leader {kind}, sim double")
 
 
 def merged(members: DataFrame) -> DataFrame:

@@ -62,11 +62,20 @@ def claims_of(claims: DataFrame, names: DataFrame) -> DataFrame:
     return claims.join(hit, "claim_id", "left_semi")
 
 
-def metrics(claims: DataFrame) -> DataFrame:
-    """Counts, mean confidence and evidence coverage in one aggregate."""
+def metrics(claims: DataFrame, **others: DataFrame) -> DataFrame:
+    """Counts, mean confidence and evidence coverage of claims in one aggregate, and total_<name> of each other table.
+
+    A table named merges gives active_merges as well.
+    """
     n = F.count("*")
     evidenced = F.count_if(F.coalesce("excerpt", F.lit("")) != "")
-    return claims.agg(
+    out = claims.agg(
         n.alias("total_claims"), F.count_if(F.col("status") == "active").alias("active_claims"), F.bround(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("average_confidence"),
         evidenced.alias("claims_with_evidence"), F.bround(evidenced / F.greatest(n, F.lit(1)), 3).alias("evidence_coverage"),
     )
+    for name, df in others.items():
+        counts = [F.count("*").alias(f"total_{name}")]
+        if name == "merges":
+            counts.append(F.count_if(F.col("status") == "active").alias("active_merges"))
+        out = out.join(F.broadcast(df.agg(*counts)), F.lit(True))  # one row each
+    return out
