@@ -12,6 +12,7 @@ from chronoloom.operators import claims as C
 from chronoloom.operators import conflicts as X
 from chronoloom.operators import entities as E
 from chronoloom.operators import graph as G
+from chronoloom.operators import models as M
 from chronoloom.operators import retrieval as R
 from chronoloom.operators import similarity as S
 from chronoloom.operators import store as K
@@ -270,7 +271,7 @@ def claims_quality_gate(spark, d):
     return C.quality_gate(raw.select("doc_id", F.round(0.2 + 0.6 * F.col("quality") - 0.1 * F.col("toxic"), 6).alias("confidence"), F.lit(1).alias("n_evidence")))
 
 
-_TYPES = ", ".join(f"'{t}'" for t in C.TYPES)
+_TYPES = ", ".join(f"'{t}'" for t in C.EXTRACTED)
 
 
 @query(f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Decision' WHEN doc_id % 3 = 1 THEN 'Made up' END AS t, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'says' END AS p, CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE CAST(doc_id % 13 / 10.0 AS VARCHAR) END AS c, text FROM documents),
@@ -290,6 +291,27 @@ def signal_filter(spark, d):
     return C.signal_comments(comments(table(spark, d, "conversations"))).select("seq", "subject")
 
 
+def recorded() -> Callable[[str], str]:
+    """Stands in for a language model: answers from the prompt by a rule, with words around the array as models write them."""
+    import json
+    import re
+
+    def ask(prompt: str) -> str:
+        found = re.search(r"#(\d+)", prompt.split("\nComment:\n", 1)[1])
+        claims = [{"claim_type": "Mention", "object": found.group(), "predicate": "", "confidence": 0.8, "excerpt": found.group()}, {"claim_type": "Decision", "confidence": 0.1}] if found else []
+        return f"Here they are: {json.dumps(claims)}"
+
+    return ask
+
+
+@query(f"""WITH {COM}, f AS (SELECT seq, source_id, subject, regexp_extract(substr(body, 1, 3000), '#(\\d+)') AS object FROM com WHERE length(trim(body)) >= 20)
+SELECT seq, source_id, subject, object, 'Generic' AS claim_type, 'generic' AS predicate, 0.8::DOUBLE AS confidence, object AS excerpt
+FROM (SELECT *, row_number() OVER (PARTITION BY subject, object ORDER BY seq) AS n FROM f WHERE object <> '') WHERE n = 1""")
+def claims_extracted(spark, d):
+    found = C.extracted(comments(table(spark, d, "conversations")), lambda prompt: M.completed(prompt, recorded))
+    return found.select("seq", "source_id", "subject", "object", "claim_type", "predicate", "confidence", "excerpt")
+
+
 @query(f"WITH {CLAIMS} SELECT {_CLAIM_COLUMNS} FROM cl WHERE contains(lower(concat_ws(' ', subject, predicate, object, value)), 'label_3') OR contains(lower(excerpt), 'label_3')")
 def claim_search(spark, d):
     return K.search_claims(C.event_claims(ce(spark, d)), "label_3")
@@ -300,9 +322,9 @@ def claims_for_entity(spark, d):
     return K.claims_of(C.event_claims(ce(spark, d)), spark.createDataFrame([("user_3",), ("issue_5",)], "name string"))
 
 
-@query(f"""WITH {CLAIMS} SELECT count(*) AS total_claims, count(*) FILTER (status = 'active') AS active_claims, round_even(avg(confidence), 3) AS average_confidence, count(*) FILTER (excerpt <> '') AS claims_with_evidence, 1.0::DOUBLE AS evidence_coverage FROM cl""")
+@query(f"""WITH {ENT.replace(CE, CLAIMS)} SELECT (SELECT count(*) FROM ent) AS total_entities, (SELECT count(*) FROM ce) AS total_events, count(*) AS total_claims, count(*) FILTER (status = 'active') AS active_claims, round_even(avg(confidence), 3) AS average_confidence, count(*) FILTER (excerpt <> '') AS claims_with_evidence, 1.0::DOUBLE AS evidence_coverage FROM cl""")
 def metrics(spark, d):
-    return K.metrics(C.event_claims(ce(spark, d)))
+    return K.metrics(C.event_claims(ce(spark, d)), entities=E.all_entities(ce(spark, d)), events=ce(spark, d))
 
 
 # ---- entities and graph
@@ -325,6 +347,11 @@ def graph_nodes(spark, d):
     return G.nodes(E.all_entities(ce(spark, d)))
 
 
+def _graph(spark, d):
+    entities = E.all_entities(ce(spark, d))
+    return G.nodes(entities), G.event_edges(ce(spark, d), E.alias_map(entities))
+
+
 _EDGES = ENT + """, ends AS (SELECT source_id, ts, CASE event_type WHEN 'IssueCreated' THEN 'created' WHEN 'AssignedTo' THEN 'assigned_to' WHEN 'LabelAdded' THEN 'labeled' WHEN 'CommentAdded' THEN 'commented' END AS type,
   CASE WHEN event_type IN ('IssueCreated', 'CommentAdded') THEN actor ELSE subject END AS a, CASE event_type WHEN 'AssignedTo' THEN assignee WHEN 'LabelAdded' THEN label ELSE subject END AS b FROM ce),
 ed AS (SELECT x.entity_id AS from_id, y.entity_id AS to_id, type, source_id, ts FROM ends JOIN ali x ON x.alias = lower(a) JOIN ali y ON y.alias = lower(b) WHERE type IS NOT NULL)"""
@@ -342,6 +369,24 @@ def graph_claim_edges(spark, d):
     return G.claim_edges(C.event_claims(events), E.alias_map(E.all_entities(events)))
 
 
+@query(f"WITH {_EDGES} SELECT ed.* FROM ed JOIN ent x ON x.entity_id = from_id JOIN ent y ON y.entity_id = to_id WHERE x.entity_type IN ('Issue', 'Label') AND y.entity_type IN ('Issue', 'Label')")
+def graph_highlight_nodes(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.highlighted(nodes, edges, "type", ["Issue", "Label"])[1]
+
+
+@query(f"WITH {_EDGES} SELECT entity_id AS id, canonical_name AS label, entity_type AS type FROM ent WHERE entity_id IN (SELECT from_id FROM ed WHERE type = 'assigned_to' UNION ALL SELECT to_id FROM ed WHERE type = 'assigned_to')")
+def graph_highlight_edges(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.nodes_of(edges, nodes, "type", ["assigned_to"])[0].select("id", "label", "type")
+
+
+@query(f"""WITH {_EDGES}, every AS (SELECT 'node' AS kind, entity_type AS type FROM ent UNION ALL SELECT 'edge', type FROM ed)
+SELECT kind, type, count(*) AS n FROM every GROUP BY ALL UNION ALL SELECT kind, '*', count(*) FROM every GROUP BY kind""")
+def graph_summary(spark, d):
+    return G.summary(*_graph(spark, d))
+
+
 _ORDERS = "e AS (SELECT 'c' || o_custkey AS from_id, 'o' || o_orderkey AS to_id FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"
 
 
@@ -388,6 +433,13 @@ def vector_topk(spark, d):
     return S.nearest(vectors(spark, d), list(asked), 10).withColumn("sim", F.round("sim", 6))
 
 
+@query(f"""WITH {VEC}, m AS (SELECT q.id AS qid, v.id, list_dot_product(v.vector, q.vector) AS sim FROM v JOIN v q ON q.id % 1000 = 0)
+SELECT qid, id, round(sim, 6) AS sim, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS place FROM m) WHERE place <= 5 AND sim > 0.3""")
+def vector_topk_each(spark, d):
+    asked = vectors(spark, d).where("id % 1000 = 0").select(F.col("id").alias("qid"), "vector")
+    return S.nearest_each(asked, vectors(spark, d), 5, 0.3).withColumn("sim", F.round("sim", 6))
+
+
 def _members(spark, d):
     return S.leaders(vectors(spark, d), 0.35)
 
@@ -469,7 +521,7 @@ res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc
 
 @query(f"WITH {ENT}, {_RES} SELECT * FROM res")
 def retrieve_entities(spark, d):
-    return R.resolve(questions(spark), E.all_entities(ce(spark, d)))
+    return R.resolve(questions(spark), E.all_entities(ce(spark, d))).drop("names")
 
 
 _TOP = f"""{_RES}, en AS (SELECT DISTINCT claim_id, unnest([lower(subject), lower(coalesce(object, ''))]) AS name FROM cl), li AS (SELECT qid, claim_id, count(DISTINCT entity_id) AS n FROM en JOIN res USING (name) GROUP BY ALL),
@@ -490,9 +542,9 @@ def retrieve_claims(spark, d):
     return _top(spark, d)[0]
 
 
-_EVI = f"""{_TOP}, ev0 AS (SELECT qid, source_id, claim_id AS from_claim, lower(subject) AS issue_id, 0 AS kind, CAST(place AS BIGINT) AS ord FROM top WHERE excerpt <> ''
-  UNION ALL SELECT qid, source_id, NULL, lower(subject), 1, seq FROM ce JOIN (SELECT DISTINCT qid, name FROM res) r ON r.name = lower(subject)),
-ev1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY kind, ord) AS n FROM ev0) WHERE n = 1),
+_EVI = f"""{_TOP}, ev0 AS (SELECT qid, source_id, claim_id AS from_claim, lower(subject) AS issue_id, excerpt, 0 AS kind, CAST(place AS BIGINT) AS ord FROM top WHERE excerpt <> ''
+  UNION ALL SELECT qid, source_id, NULL, lower(subject), '', 1, seq FROM ce JOIN (SELECT DISTINCT qid, name FROM res) r ON r.name = lower(subject)),
+ev1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id || substr(excerpt, 1, 50) ORDER BY kind, ord) AS n FROM ev0) WHERE n = 1),
 evi AS (SELECT * EXCLUDE (n, ord) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kind, ord, source_id) AS place FROM ev1) WHERE place <= 30)"""
 
 
@@ -502,12 +554,46 @@ def retrieve_evidence(spark, d):
     return R.evidence(top, events, resolved)
 
 
-@query(f"""WITH {_CE_CL}, {_EVI}, nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, issue_id ORDER BY place) AS n FROM evi WHERE kind = 1) WHERE n <= 3),
-src AS (SELECT qid, from_claim AS claim_id, source_id, place AS p FROM evi WHERE kind = 0 UNION ALL SELECT top.qid, claim_id, nr.source_id, nr.place FROM top JOIN nr ON nr.qid = top.qid AND nr.issue_id = lower(subject)),
-ag AS (SELECT qid, claim_id, string_agg(source_id, ',' ORDER BY p, source_id) AS sources FROM src GROUP BY ALL)
-SELECT top.qid, place AS rank, top.claim_id, score, coalesce(sources, '') AS sources, CASE WHEN sources IS NULL THEN 'ungrounded' ELSE 'grounded' END AS grounding FROM top LEFT JOIN ag ON ag.qid = top.qid AND ag.claim_id = top.claim_id WHERE place <= 10""")
+_SRC = f"""{_EVI}, nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, issue_id ORDER BY place) AS n FROM evi WHERE kind = 1) WHERE n <= 3),
+src AS (SELECT evi.qid, top.place AS rank, from_claim AS claim_id, evi.source_id, issue_id, evi.excerpt, evi.place AS p FROM evi JOIN top ON top.qid = evi.qid AND top.claim_id = from_claim WHERE kind = 0 AND top.place <= 10
+  UNION ALL SELECT top.qid, top.place, claim_id, nr.source_id, issue_id, nr.excerpt, nr.place FROM top JOIN nr ON nr.qid = top.qid AND nr.issue_id = lower(subject) WHERE top.place <= 10),
+ag AS (SELECT qid, claim_id, string_agg(source_id, ',' ORDER BY p, source_id) AS sources FROM src GROUP BY ALL),
+itm AS (SELECT top.qid, place AS rank, top.claim_id, score, coalesce(sources, '') AS sources, CASE WHEN sources IS NULL THEN 'ungrounded' ELSE 'grounded' END AS grounding FROM top LEFT JOIN ag ON ag.qid = top.qid AND ag.claim_id = top.claim_id WHERE place <= 10)"""
+
+
+@query(f"WITH {_CE_CL}, {_SRC} SELECT * FROM itm")
 def retrieve_items(spark, d):
     top, resolved, events = _top(spark, d)
     return R.items(top, R.evidence(top, events, resolved))
 
 
+@query(f"""WITH {_CE_CL}, {_SRC} SELECT qid, place, rank, source_id, issue_id, substr(excerpt, 1, 200) AS excerpt
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, p, source_id) AS place FROM src) WHERE place <= 20""")
+def retrieve_citations(spark, d):
+    top, resolved, events = _top(spark, d)
+    return R.citations(top, R.evidence(top, events, resolved))
+
+
+_CON = f"""con0 AS (SELECT subject AS issue_id, 'contradictory_claims' AS conflict_type, 'high' AS severity FROM cl GROUP BY subject, predicate HAVING count(*) >= 2 AND count(DISTINCT coalesce(nullif(value, ''), nullif(object, ''))) > 1
+  UNION ALL SELECT subject, 'ownership_change', CASE WHEN count(DISTINCT assignee) > 2 THEN 'medium' ELSE 'low' END FROM ce WHERE event_type = 'AssignedTo' GROUP BY subject HAVING count(DISTINCT assignee) > 1),
+con AS (SELECT * FROM (SELECT qid, issue_id, conflict_type, severity, row_number() OVER (PARTITION BY qid ORDER BY conflict_type, issue_id, severity) AS place FROM con0 JOIN (SELECT DISTINCT qid, name FROM res) r ON r.name = lower(issue_id)) WHERE place <= 5)"""
+
+
+def _surfaced(spark, d, resolved):
+    events = ce(spark, d)
+    found = [x.select("issue_id", "conflict_type", "severity") for x in (X.contradictions(C.event_claims(events)), X.ownership(events))]
+    return R.conflicts_of(resolved, found[0].unionByName(found[1]))
+
+
+@query(f"WITH {_CE_CL}, {_RES}, {_CON} SELECT * FROM con")
+def retrieve_conflicts(spark, d):
+    return _surfaced(spark, d, R.resolve(questions(spark), E.all_entities(ce(spark, d))))
+
+
+@query(f"""WITH {_CE_CL}, {_SRC}, {_CON} SELECT qid, question, coalesce((SELECT string_agg(entity_id, ',' ORDER BY place) FROM res WHERE res.qid = qs.qid AND place <= 5), '') AS entities_mentioned,
+  (SELECT count(*) FROM evi WHERE evi.qid = qs.qid) AS total_evidence_count, coalesce((SELECT string_agg(claim_id, ',' ORDER BY rank) FROM itm WHERE itm.qid = qs.qid), '') AS claims,
+  (SELECT count(*) FROM itm WHERE itm.qid = qs.qid AND grounding = 'grounded') AS n_grounded, (SELECT count(*) FROM con WHERE con.qid = qs.qid) AS n_conflicts FROM qs WHERE qid > 0""")
+def retrieve_packs(spark, d):
+    top, resolved, events = _top(spark, d)
+    found = R.evidence(top, events, resolved)
+    return R.packs(spark.createDataFrame(QUESTIONS, "qid int, question string"), resolved, found, R.items(top, found), _surfaced(spark, d, resolved))

@@ -5,11 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoloom.operators import claims, conflicts, entities, graph, temporal
+from chronoloom.operators import claims, conflicts, entities, graph, models, retrieval, similarity, temporal
+from chronoloom.sources import issues
 
 Stage = Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]
 
+#: Claims this similar are one claim.
+SIMILAR_CLAIMS = 0.85
+EXAMPLES = ["Which issues are currently open?", "What labels are most commonly used?", "Are there any issues with state conflicts or reopens?", "Who was assigned to issue_1?"]
+
+
+def transform(spark: SparkSession, path: str, folder: str) -> None:
+    """Writes the events of a file of nested issues to the folder, numbered in the order of time, and its comments with whole bodies."""
+    flat = issues.events(issues.read(spark, path))
+    flat.select("seq", "source_id", "subject", F.col("timestamp").alias("ts"), "actor", "event_type", "extra.assignee", "extra.label").write.mode("overwrite").parquet(f"{folder}/events")
+    flat.where("event_type = 'CommentAdded'").select("subject", "seq", "actor", "source_id", F.col("evidence_full").alias("body")).write.mode("overwrite").parquet(f"{folder}/comments")
+
+
+def _dedup(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """Claims of one subject that are alike become their first; the rest and the log of merges. Subjects are clustered apart."""
+    rows = read("claims")
+    text = F.concat_ws(" ", "claim_type", "subject", "predicate", "object", "value")
+    vectors = rows.select(F.col("claim_id").alias("id"), "seq", F.col("subject").alias("block"), models.embedded(text).alias("vector"))
+    members = similarity.leaders(vectors, SIMILAR_CLAIMS)
+    kept = rows.join(members.where("id = leader").select(F.col("id").alias("claim_id")), "claim_id", "left_semi")
+    return {"canonical_claims": kept, "merge_log": similarity.merge_log(members, "claim")}
+
+
+def _retrieve(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """Items, citations and packs of the example questions, by keywords and by vectors."""
+    names, said = read("entities"), read("canonical_claims")
+    asked = names.sparkSession.createDataFrame(list(enumerate(EXAMPLES, 1)), "qid int, question string")
+    words, vectors = retrieval.question_words(asked), asked.select("qid", models.embedded(F.col("question")).alias("vector"))
+    near = lambda rows, k: similarity.nearest_each(vectors, rows.select("id", models.embedded(F.col("text")).alias("vector")), k, retrieval.SIMILAR)
+    found = retrieval.resolve(words, names, near(retrieval.entity_text(names), retrieval.SIMILAR_ENTITIES))
+    top = retrieval.score_claims(words, found, said, near(retrieval.claim_text(said), retrieval.SIMILAR_CLAIMS))
+    evidence = retrieval.evidence(top, read("events"), found)
+    items = retrieval.items(top, evidence)
+    surfaced = retrieval.conflicts_of(found, read("contradictions"))
+    return {"items": items, "citations": retrieval.citations(top, evidence), "packs": retrieval.packs(asked, found, evidence, items, surfaced)}
+
+
 STAGES: dict[str, Stage] = {
     "temporal": lambda read: {
         "states": temporal.state_intervals(read("events")),
@@ -20,6 +58,8 @@ STAGES: dict[str, Stage] = {
     "entities": lambda read: {"entities": entities.all_entities(read("events")), "aliases": entities.alias_map(entities.all_entities(read("events")))},
     "conflicts": lambda read: {"irregularities": conflicts.irregularity(read("states")), "contradictions": conflicts.contradictions(read("claims")), "ownership": conflicts.ownership(read("events"))},
     "graph": lambda read: {"nodes": graph.nodes(read("entities")), "edges": graph.event_edges(read("events"), read("aliases"))},
+    "dedup": _dedup,
+    "retrieve": _retrieve,
 }
 
 

@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 
-from chronoloom.operators import similarity, temporal
+from pyspark.sql import functions as F
+
+from chronoloom.operators import claims, models, retrieval, similarity, temporal
 from chronoloom.plans import stages
 from chronoloom.sources import issues, rest, tables
 from chronoloom.streaming import ingest
@@ -79,3 +81,63 @@ def test_stages_run_over_a_folder(spark, tmp_path):
     tables.canonical_events(tables.table(spark, "/root/testdata/sf0.001", "events")).write.parquet(str(tmp_path / "events"))
     assert list(stages.run(spark, str(tmp_path))) == list(stages.STAGES)
     assert spark.read.parquet(str(tmp_path / "edges")).count() > 0
+    rows, kept, log = (spark.read.parquet(str(tmp_path / t)) for t in ("claims", "canonical_claims", "merge_log"))
+    assert rows.count() == kept.count() + (log.agg(F.sum(F.size(F.split("merged_ids", ",")))).first()[0] or 0)
+    assert spark.read.parquet(str(tmp_path / "packs")).count() == len(stages.EXAMPLES)
+
+
+def test_issues_reach_the_stages(spark, tmp_path):
+    raw = [{"number": 1, "title": "T", "state": "closed", "created_at": "2024-01-01T00:00:00Z", "closed_at": "2024-01-01T00:05:00Z", "user": {"login": "ann"}, "comments_data": [{"id": 5, "body": "this is approved", "created_at": "2024-01-02T00:00:00Z"}]}]
+    (tmp_path / "i.json").write_text(json.dumps(raw))
+    stages.transform(spark, str(tmp_path / "i.json"), str(tmp_path))
+    stages.run(spark, str(tmp_path), ["temporal", "claims", "entities"])
+    assert [(r.state, r.valid_until) for r in spark.read.parquet(str(tmp_path / "states")).orderBy("seq").collect()] == [("open", "2024-01-01T00:05:00Z"), ("closed", None)]
+    assert claims.comment_claims(spark.read.parquet(str(tmp_path / "comments"))).where("claim_type = 'Decision'").count() == 1
+
+
+def test_embedding_gives_unit_vectors(spark):
+    df = spark.createDataFrame([(1, "open the issue"), (2, "OPEN the issue!"), (3, None), (4, "quite another thing")], "id int, text string")
+    got = {r.id: np.array(r.v) for r in df.select("id", models.embedded(F.col("text")).alias("v")).collect()}
+    assert got[1] @ got[2] > 0.999 and abs(np.linalg.norm(got[4]) - 1) < 1e-9 and not got[3].any() and got[1] @ got[4] < 0.5
+
+
+def test_completion_tries_again_and_gives_up(spark):
+    def make():
+        seen = {}
+
+        def ask(text):
+            seen[text] = seen.get(text, 0) + 1
+            if text == "raises":
+                raise OSError
+            return {"noisy": "so: [1]", "late": "[" if seen[text] == 1 else "[]"}.get(text, "no array")
+
+        return ask
+
+    df = spark.createDataFrame([("noisy",), ("late",), ("raises",), ("never",), (None,)], "p string").coalesce(1)
+    got = dict(df.select("p", models.completed(F.col("p"), make, wait=0.0)).collect())
+    assert got == {"noisy": "so: [1]", "late": "[]", "raises": None, "never": None, None: None}
+
+
+def test_extracted_claims_are_validated_and_kept_once(spark):
+    answers = {
+        1: json.dumps([{"claim_type": "LabelAction", "subject": "s", "predicate": "p", "confidence": 7, "excerpt": "e"}, {"claim_type": "Blocks", "confidence": "high", "excerpt": "x" * 600}, {"confidence": 0.1, "excerpt": "weak"}, {"confidence": 0.9}]),
+        2: 'Sure! [{"claim_type": "Generic", "subject": "s", "predicate": "p", "excerpt": "again"}]',
+        3: "nothing to read",
+    }
+    rows = spark.createDataFrame([(f"issue_{k}", k, "ann", f"c{k}", f"this fixes number {k} at last") for k in answers], "subject string, seq long, actor string, source_id string, body string")
+    answer = lambda p: F.coalesce(*(F.when(p.contains(f"number {k} "), F.lit(a)) for k, a in answers.items()))
+    got = [(r.seq, r.subject, r.claim_type, r.predicate, r.confidence, len(r.excerpt)) for r in claims.extracted(rows, answer).orderBy("seq", "claim_type").collect()]
+    assert got == [(1, "issue_1", "Blocks", "blocks", 0.5, 500), (1, "s", "Generic", "p", 1.0, 1)]
+
+
+def test_similar_rows_join_the_keyword_hits(spark):
+    words = retrieval.question_words(spark.createDataFrame([(1, "What about ann?")], "qid int, question string"))
+    names = spark.createDataFrame([("e1", "Bob", "bob,Ann"), ("e2", "Cy", ""), ("e3", "Dee", None)], "entity_id string, canonical_name string, aliases string")
+    near = spark.createDataFrame([(1, "e1", 0.9), (1, "e2", 0.4)], "qid int, id string, sim double")
+    found = retrieval.resolve(words, names, near)
+    assert [(r.entity_id, r.score) for r in found.orderBy("place").collect()] == [("e1", 0.8), ("e2", 0.4)]
+    rows = [("c1", "ann", "p", None, None, 0.5, "", "s1"), ("c2", "zed", "p", None, None, 0.5, "", "s2"), ("c3", "zed", "q", None, None, 0.5, "", "s3"), ("c4", "e2", "p", None, None, 0.5, "x", "s4")]
+    said = spark.createDataFrame(rows, "claim_id string, subject string, predicate string, object string, value string, confidence double, excerpt string, source_id string")
+    near = spark.createDataFrame([(1, "c1", 0.6), (1, "c2", 0.5)], "qid int, id string, sim double")
+    got = [(r.claim_id, r.score) for r in retrieval.score_claims(words, found, said, near).orderBy("place").collect()]
+    assert got == [("c1", 1.1), ("c4", 0.8), ("c2", 0.4)]
