@@ -17,7 +17,7 @@ from chronoloom.operators import retrieval as R
 from chronoloom.operators import similarity as S
 from chronoloom.operators import store as K
 from chronoloom.operators import temporal as T
-from chronoloom.sources.tables import canonical_events, comments, first_of, table
+from chronoloom.sources.tables import canonical_events, comments, first_of, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -291,23 +291,22 @@ def signal_filter(spark, d):
     return C.signal_comments(comments(table(spark, d, "conversations"))).select("seq", "subject")
 
 
-def recorded() -> Callable[[str], str]:
-    """Stands in for a language model: answers from the prompt by a rule, with words around the array as models write them."""
-    import json
-    import re
-
-    def ask(prompt: str) -> str:
-        found = re.search(r"#(\d+)", prompt.split("\nComment:\n", 1)[1])
-        claims = [{"claim_type": "Mention", "object": found.group(), "predicate": "", "confidence": 0.8, "excerpt": found.group()}, {"claim_type": "Decision", "confidence": 0.1}] if found else []
-        return f"Here they are: {json.dumps(claims)}"
-
-    return ask
-
-
 @query(f"""WITH {COM}, f AS (SELECT seq, source_id, subject, regexp_extract(substr(body, 1, 3000), '#(\\d+)') AS object FROM com WHERE length(trim(body)) >= 20)
 SELECT seq, source_id, subject, object, 'Generic' AS claim_type, 'generic' AS predicate, 0.8::DOUBLE AS confidence, object AS excerpt
 FROM (SELECT *, row_number() OVER (PARTITION BY subject, object ORDER BY seq) AS n FROM f WHERE object <> '') WHERE n = 1""")
 def claims_extracted(spark, d):
+    def recorded() -> Callable[[str], str]:
+        """Stands in for a language model: answers from the prompt by a rule, with words around the array as models write them."""
+        import json
+        import re
+
+        def ask(prompt: str) -> str:
+            found = re.search(r"#(\d+)", prompt.split("\nComment:\n", 1)[1])
+            claims = [{"claim_type": "Mention", "object": found.group(), "predicate": "", "confidence": 0.8, "excerpt": found.group()}, {"claim_type": "Decision", "confidence": 0.1}] if found else []
+            return f"Here they are: {json.dumps(claims)}"
+
+        return ask
+
     found = C.extracted(comments(table(spark, d, "conversations")), lambda prompt: M.completed(prompt, recorded))
     return found.select("seq", "source_id", "subject", "object", "claim_type", "predicate", "confidence", "excerpt")
 
@@ -533,8 +532,9 @@ _CE_CL = ENT.replace(CE, CLAIMS)
 
 def _top(spark, d):
     events, words = ce(spark, d), questions(spark)
-    resolved = R.resolve(words, E.all_entities(events))
-    return R.score_claims(words, resolved, C.event_claims(events)), resolved, events
+    # Ten entities and fifteen claims a question, which several later steps read.
+    resolved = settled(R.resolve(words, E.all_entities(events)))
+    return settled(R.score_claims(words, resolved, C.event_claims(events))), resolved, events
 
 
 @query(f"WITH {_CE_CL}, {_TOP} SELECT * FROM top")
@@ -564,14 +564,14 @@ itm AS (SELECT top.qid, place AS rank, top.claim_id, score, coalesce(sources, ''
 @query(f"WITH {_CE_CL}, {_SRC} SELECT * FROM itm")
 def retrieve_items(spark, d):
     top, resolved, events = _top(spark, d)
-    return R.items(top, R.evidence(top, events, resolved))
+    return R.items(top, settled(R.evidence(top, events, resolved)))
 
 
 @query(f"""WITH {_CE_CL}, {_SRC} SELECT qid, place, rank, source_id, issue_id, substr(excerpt, 1, 200) AS excerpt
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, p, source_id) AS place FROM src) WHERE place <= 20""")
 def retrieve_citations(spark, d):
     top, resolved, events = _top(spark, d)
-    return R.citations(top, R.evidence(top, events, resolved))
+    return R.citations(top, settled(R.evidence(top, events, resolved)))
 
 
 _CON = f"""con0 AS (SELECT subject AS issue_id, 'contradictory_claims' AS conflict_type, 'high' AS severity FROM cl GROUP BY subject, predicate HAVING count(*) >= 2 AND count(DISTINCT coalesce(nullif(value, ''), nullif(object, ''))) > 1
@@ -595,5 +595,5 @@ def retrieve_conflicts(spark, d):
   (SELECT count(*) FROM itm WHERE itm.qid = qs.qid AND grounding = 'grounded') AS n_grounded, (SELECT count(*) FROM con WHERE con.qid = qs.qid) AS n_conflicts FROM qs WHERE qid > 0""")
 def retrieve_packs(spark, d):
     top, resolved, events = _top(spark, d)
-    found = R.evidence(top, events, resolved)
+    found = settled(R.evidence(top, events, resolved))
     return R.packs(spark.createDataFrame(QUESTIONS, "qid int, question string"), resolved, found, R.items(top, found), _surfaced(spark, d, resolved))

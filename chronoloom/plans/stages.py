@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import claims, conflicts, entities, graph, models, retrieval, similarity, temporal
 from chronoloom.sources import issues
+from chronoloom.sources.tables import settled
 
 Stage = Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]
 
@@ -40,9 +41,9 @@ def _retrieve(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     asked = names.sparkSession.createDataFrame(list(enumerate(EXAMPLES, 1)), "qid int, question string")
     words, vectors = retrieval.question_words(asked), asked.select("qid", models.embedded(F.col("question")).alias("vector"))
     near = lambda rows, k: similarity.nearest_each(vectors, rows.select("id", models.embedded(F.col("text")).alias("vector")), k, retrieval.SIMILAR)
-    found = retrieval.resolve(words, names, near(retrieval.entity_text(names), retrieval.SIMILAR_ENTITIES))
-    top = retrieval.score_claims(words, found, said, near(retrieval.claim_text(said), retrieval.SIMILAR_CLAIMS))
-    evidence = retrieval.evidence(top, read("events"), found)
+    found = settled(retrieval.resolve(words, names, near(retrieval.entity_text(names), retrieval.SIMILAR_ENTITIES)))
+    top = settled(retrieval.score_claims(words, found, said, near(retrieval.claim_text(said), retrieval.SIMILAR_CLAIMS)))
+    evidence = settled(retrieval.evidence(top, read("events"), found))
     items = retrieval.items(top, evidence)
     surfaced = retrieval.conflicts_of(found, read("contradictions"))
     return {"items": items, "citations": retrieval.citations(top, evidence), "packs": retrieval.packs(asked, found, evidence, items, surfaced)}

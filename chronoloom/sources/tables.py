@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -25,6 +27,22 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small table that is read several times, evaluated once: a reliable checkpoint in the folder named by spark.checkpoint.dir.
+
+    Only a local session that names no folder gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="chronoloom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def keyed(df: DataFrame, key: str, order: str = "seq", last: bool = True) -> DataFrame:
     """One row per key: the last in order, as a keyed load keeps it, or the first."""
     best = F.max_by if last else F.min_by
