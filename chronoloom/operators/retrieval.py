@@ -46,15 +46,17 @@ def resolve(words: DataFrame, entities: DataFrame, similar: DataFrame | None = N
 def score_claims(words: DataFrame, resolved: DataFrame, claims: DataFrame, similar: DataFrame | None = None, most: int = CLAIMS) -> DataFrame:
     """qid, claim_id, score, place: 0.7 for each entity at either end, 0.3 for each keyword in predicate and value, 0.2 for each in the
     evidence, 0.2 of the confidence; above 0.2 only. With similar (qid, id, sim) half of the similarity is added to these, and claims
-    that are similar only score 0.8 of it."""
-    ends = claims.select("claim_id", F.explode(F.array_distinct(F.array(F.lower("subject"), F.lower(F.coalesce("object", F.lit("")))))).alias("name"))
-    known = resolved.select("qid", F.explode(F.array_union("names", F.array("entity_id"))).alias("name"), "entity_id")
-    linked = ends.join(F.broadcast(known), "name").groupBy("qid", "claim_id").agg(F.countDistinct("entity_id").alias("n"))
+    that are similar only score 0.8 of it.
+
+    A question's few words and entities are broadcast and all is scored inside a claim's row; only the best rows of each task move."""
+    known = resolved.groupBy("qid").agg(F.collect_list(F.array_union("names", F.array("entity_id"))).alias("known"))
+    asked = words.select("qid", "words").join(known, "qid", "left").withColumn("known", F.coalesce("known", F.array().cast("array<array<string>>")))
     text, evidence = F.lower(F.concat_ws(" ", "predicate", F.coalesce("value", F.lit("None")))), F.lower(F.coalesce("excerpt", F.lit("")))
     hits = lambda c: F.size(F.filter("words", lambda w: F.contains(c, w)))
-    said = claims.join(F.broadcast(words.select("qid", "words")), F.lit(True))
-    scored = said.withColumn("in_text", hits(text)).withColumn("in_evidence", hits(evidence)).join(linked, ["qid", "claim_id"], "left")
-    score = 0.7 * F.coalesce("n", F.lit(0)) + 0.3 * F.col("in_text") + 0.2 * F.col("in_evidence") + 0.2 * F.col("confidence")
+    ends = F.array(F.lower("subject"), F.lower(F.coalesce("object", F.lit(""))))
+    said = claims.join(F.broadcast(asked), F.lit(True))
+    scored = said.withColumn("in_text", hits(text)).withColumn("in_evidence", hits(evidence)).withColumn("n", F.size(F.filter("known", lambda names: F.arrays_overlap(names, ends))))
+    score = 0.7 * F.col("n") + 0.3 * F.col("in_text") + 0.2 * F.col("in_evidence") + 0.2 * F.col("confidence")
     scored = scored.withColumn("score", F.round(score, 6))
     if similar is not None:
         scored = scored.join(F.broadcast(similar.select("qid", F.col("id").alias("claim_id"), "sim")), ["qid", "claim_id"], "left")
