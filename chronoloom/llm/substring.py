@@ -180,7 +180,8 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         b = Block(left, {x for ids in received(right)[COPIES] for x in ids}, window, anchor)
         out = []
         if len(b.anchors):
-            heads = runs(b.anchors)
+            # a run ends with its document, too
+            heads = np.union1d(runs(b.anchors), runs(b.row))
             keys, who = b.anchors[heads], b.ids[b.row[heads]]
             order = np.argsort(keys, kind="stable")
             keys, who = keys[order], who[order]

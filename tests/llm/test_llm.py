@@ -44,6 +44,20 @@ def test_substrings_equal_brute_force(docs, empty, size):
     assert substring.digest(substring.dedup_passages(empty)).count() == 0
 
 
+def assert_substrings(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = [((None if i == substring.LAST_ID else i), *rest) for i, *rest in substring.brute_force(texts)]
+    assert rows(substring.digest(substring.dedup_passages(df))) == sorted(want, key=repr)
+    return sum(r[2] for r in want)
+
+
+def test_substrings_across_neighbouring_documents(spark):
+    passage, own = " ".join(f"p{i}" for i in range(13)), lambda x: " ".join(f"{x}{i}" for i in range(20))
+    assert assert_substrings(spark, [(1, f"{own('a')} {passage}"), (2, f"{passage} {own('b')}")]) == 13
+    notice = " ".join(f"q{i}" for i in range(13))
+    assert assert_substrings(spark, [(1, f"{notice} one"), (2, f"{notice} two")]) == 13
+
+
 def test_packing_is_an_exact_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
