@@ -93,16 +93,30 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def text_key(text: bytes | memoryview) -> tuple[int, int]:
+    """The first 120 bits of a text's SHA-256, as in the messages of copies."""
+    sha = hashlib.sha256(text).hexdigest()
+    return int(sha[:15], 16), int(sha[15:30], 16)
+
+
+def copies_of(got: dict[int, list]) -> set[tuple[int, int, int]]:
+    return {key for ids in got[COPIES] for key in zip(ids[::3], ids[1::3], ids[2::3], strict=True)}
+
+
 class Block:
     """The windows of a block's documents, without those of copies."""
 
-    def __init__(self, docs: pa.Table, copies: set[int], window: int, anchor: int):
+    def __init__(self, docs: pa.Table, copies: set[tuple[int, int, int]], window: int, anchor: int):
         self.ids = docs.column("did").to_numpy()
         data, offsets = text_buffers(docs.column("text"))
         self.data, self.offsets = data, offsets
         self.starts, self.ends, self.words, self.at = word_table(data, offsets)
         n = np.diff(self.at)
-        self.copy = np.isin(self.ids, np.fromiter(copies, np.int64, len(copies))) if copies else np.zeros(len(self.ids), bool)
+        self.copy = np.isin(self.ids, np.array(list({i for i, *_ in copies}), np.int64))
+        body = memoryview(data)
+        for r in np.flatnonzero(self.copy):
+            # other texts may stand under the id of a copy
+            self.copy[r] = (int(self.ids[r]), *text_key(body[offsets[r] : offsets[r + 1]])) in copies
         count = np.where(self.copy, 0, np.maximum(n - window + 1, 0))
         #: Of each window: its first word and its document's row.
         self.first = ranges(self.at[:-1], count)
@@ -166,9 +180,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     copies = (
         light.join(twice, "sha")
         .where("did > least")
-        .select(block_of.alias("block"), "did")
+        .select(block_of.alias("block"), F.array("did", *(F.conv(F.substring("sha", k, 15), 16, 10).cast("long") for k in (1, 16))).alias("key"))
         .groupBy("block")
-        .agg(F.collect_set("did").alias("ids"))
+        .agg(F.flatten(F.collect_set("key")).alias("ids"))
         .select(F.lit(0).alias("grp"), "block", F.lit(COPIES).alias("kind"), F.lit(None).cast("binary").alias("body"), "ids")
     )
     blocks = docs.select(block_of_column(did, n_blocks).alias("block"), "doc_id", did.alias("did"), F.col("text").cast("binary").alias("text"))
@@ -177,7 +191,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         if not left.num_rows:
             return messages([])
         own = int(left.column("block")[0].as_py())
-        b = Block(left, {x for ids in received(right)[COPIES] for x in ids}, window, anchor)
+        b = Block(left, copies_of(received(right)), window, anchor)
         out = []
         if len(b.anchors):
             # a run ends with its document, too
@@ -234,7 +248,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         return messages([(0, int(owner[i[a]]), SHARED, pack(keys[i[a:z]])) for a, z in zip(heads[:-1], heads[1:], strict=True)])
 
     def windows_of(left: pa.Table, got: dict[int, list]):
-        b = Block(left, {x for ids in got[COPIES] for x in ids}, window, anchor)
+        b = Block(left, copies_of(got), window, anchor)
         which = b.survivors(np.sort(joined([unpack(x, "u8")[0] for x in got[SHARED]], "u8")))
         at = b.first[which]
         return b, which, span_hashes(b.words, at, at + window)

@@ -58,6 +58,11 @@ def test_substrings_across_neighbouring_documents(spark):
     assert assert_substrings(spark, [(1, f"{notice} one"), (2, f"{notice} two")]) == 13
 
 
+def test_substrings_of_other_texts_under_the_id_of_a_copy(spark):
+    copied, unique, other = (" ".join(f"{x}{i}" for i in range(15)) for x in "cuo")
+    assert assert_substrings(spark, [(1, copied), (None, copied), (None, unique), (5, copied), (5, other)]) == 30
+
+
 def test_packing_is_an_exact_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
