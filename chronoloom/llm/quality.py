@@ -4,7 +4,8 @@ A document's histogram over character classes and its histogram over common word
 Jensen-Shannon divergence (base 2, 0 to 1). References are the histograms of all labelled documents of the language added up, each
 document weighted by its own size up to ``WEIGHT_WORDS`` words, so that no long text makes the reference alone. A document is judged by
 the language that suits it best; its own label plays no part. Short documents say too little about a distribution: the class histogram is
-judged from ``MIN_CHARS`` characters in words on, the word histogram from ``MIN_WORDS`` words on.
+judged from ``MIN_CHARS`` characters in words on, the word histogram, which is over the common words alone, from ``MIN_COMMON`` of them
+on. From ``MIN_WORDS`` words on, a document's common words must make up ``LEAST_COMMON`` of the share they have in the reference at least.
 
 All per-document work is inside one row; what is gathered is one histogram a language.
 """
@@ -30,8 +31,10 @@ WINDOW = 8
 WEIGHT_WORDS = 1000
 MIN_CHARS = 200
 MIN_WORDS = 60
+MIN_COMMON = 30
 MOST_CLASS_DIVERGENCE = 0.10
 MOST_WORD_DIVERGENCE = 0.35
+LEAST_COMMON = 0.25
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 FEWEST_DOCUMENTS = 20
@@ -104,7 +107,8 @@ def judge(docs: DataFrame, label: str = "lang") -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, class_divergence, word_divergence, like_lang.
 
-    kept is false if the base rules fail, or if the class histogram or the word histogram is farther from every language than allowed.
+    kept is false if the base rules fail, if the class histogram or the word histogram is farther from the best language than allowed, or
+    if common words are too rare for it.
     A null text has no words and fails the base rules. Without references, for want of labels, only the base rules count. Repeated rows
     and rows without id each give a row. An empty table gives an empty result.
     """
@@ -113,12 +117,17 @@ def judge(docs: DataFrame, label: str = "lang") -> DataFrame:
     refs = references(measured, label)
     base = f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"
     if refs:
-        scores = ", ".join(f"struct({divergence('classes', 'word_chars', r['classes'])} as c, {divergence('commons', 'n_words', r['commons'])} as w, '{r['lang']}' as lang)" for r in refs)
-        scored = measured.selectExpr("*", f"array({scores}) as scores")
-        scored = scored.selectExpr("*", "array_min(transform(scores, s -> struct(s.c + s.w as total, s.c as c, s.w as w, s.lang as lang))) as best")
+        # the last place of commons is the class of all other words
+        own = [(r, sum(r["commons"][:-1])) for r in refs]
+        alone = [[x / mass for x in r["commons"][:-1]] for r, mass in own]
+        scores = ", ".join(f"struct({divergence('classes', 'word_chars', r['classes'])} as c, {divergence('met', 'n_common', a)} as w, {m!r}D as m, '{r['lang']}' as lang)" for (r, m), a in zip(own, alone, strict=True))
+        counted = measured.selectExpr("*", f"slice(commons, 1, {len(COMMON_WORDS)}) as met", "n_words - element_at(commons, -1) as n_common")
+        scored = counted.selectExpr("*", f"array({scores}) as scores")
+        scored = scored.selectExpr("*", "array_min(transform(scores, s -> struct(s.c + s.w as total, s.c as c, s.w as w, s.lang as lang, s.m as m))) as best")
     else:
-        scored = measured.selectExpr("*", "struct(0D as total, 0D as c, 0D as w, cast(null as string) as lang) as best")
-    method = f"(word_chars >= {MIN_CHARS} and best.c > {MOST_CLASS_DIVERGENCE}D) or (n_words >= {MIN_WORDS} and best.w > {MOST_WORD_DIVERGENCE}D)"
+        scored = measured.selectExpr("*", "0L as n_common", "struct(0D as total, 0D as c, 0D as w, cast(null as string) as lang, 0D as m) as best")
+    words = f"(n_common >= {MIN_COMMON} and best.w > {MOST_WORD_DIVERGENCE}D) or (n_words >= {MIN_WORDS} and n_common < {LEAST_COMMON}D * best.m * n_words)"
+    method = f"(word_chars >= {MIN_CHARS} and best.c > {MOST_CLASS_DIVERGENCE}D) or {words}"
     return scored.selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{base} as base_failed", f"not ({base}) and not ({method}) as kept",
         "best.c as class_divergence", "best.w as word_divergence", "best.lang as like_lang",
