@@ -2,7 +2,8 @@ r"""Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histogram over character classes and its histogram over common words are compared with each language's reference by the
 Jensen-Shannon divergence (base 2, 0 to 1). References are the histograms of all labelled documents of the language added up, each
-document weighted by its own size up to ``WEIGHT_WORDS`` words, so that no long text makes the reference alone. A document is judged by
+document weighted by its own size up to ``WEIGHT_WORDS`` words, so that no long text makes the reference alone, and ``PRIOR_WORDS`` words
+spread like those of all languages, which count where documents are few. A document is judged by
 the language that suits it best; its own label plays no part. Short documents say too little about a distribution: the class histogram is
 judged from ``MIN_CHARS`` characters in words on, the word histogram, which is over the common words alone, from ``MIN_COMMON`` of them
 on. From ``MIN_WORDS`` words on, a document's common words must make up ``LEAST_COMMON`` of the share they have in the reference at least.
@@ -37,7 +38,7 @@ MOST_WORD_DIVERGENCE = 0.35
 LEAST_COMMON = 0.25
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-FEWEST_DOCUMENTS = 20
+PRIOR_WORDS = 200
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _JOINED = "array_join(transform(filter(words, w -> lower(w) IN ({})), w -> concat('|', lower(w), '|')), '')"
@@ -78,17 +79,19 @@ def measures(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def references(measured: DataFrame, label: str = "lang", fewest: int = FEWEST_DOCUMENTS) -> list[dict]:
-    """Histograms of each label's documents: lang, classes, commons as shares with one count added to each. Labels of few documents have none."""
+def references(measured: DataFrame, label: str = "lang", prior: int = PRIOR_WORDS) -> list[dict]:
+    """Histograms of each label's documents: lang, classes, commons as shares with prior words of all labels and one count added to each."""
     weight = f"least(1.0, {WEIGHT_WORDS} / n_words)"
     names = [("classes", len(CLASSES) + 1), ("commons", len(COMMON_WORDS) + 1)]
     sums = [F.expr(f"sum(cast({a}[{k}] * {weight} as double))").alias(f"{a}{k}") for a, n in names for k in range(n)]
-    rows = measured.where(F.col(label).isNotNull() & (F.col("n_words") >= LEAST_WORDS)).groupBy(label).agg(F.count("*").alias("n"), *sums).where(F.col("n") >= fewest).collect()
+    rows = measured.where(F.col(label).isNotNull() & (F.col("n_words") >= LEAST_WORDS)).groupBy(label).agg(*sums).collect()
+    pooled = {f"{a}{k}": sum(r[f"{a}{k}"] for r in rows) for a, n in names for k in range(n)}
+    scale = prior / max(1.0, sum(pooled[f"commons{k}"] for k in range(len(COMMON_WORDS) + 1)))
     out = []
     for r in sorted(rows, key=lambda r: str(r[label])):
         ref = {"lang": str(r[label])}
         for a, n in names:
-            counts = [round(r[f"{a}{k}"]) + 1 for k in range(n)]
+            counts = [round(r[f"{a}{k}"] + scale * pooled[f"{a}{k}"]) + 1 for k in range(n)]
             ref[a] = [c / sum(counts) for c in counts]
         out.append(ref)
     return out
