@@ -27,8 +27,8 @@ def words_of(column: str) -> str:
 def seed_hashes(seeds: tuple[str, ...], codes: str = "codes") -> list[str]:
     """SQL for the hashes of all positions under each seed, of an array of words' hashes."""
     out = []
-    for k, seed in enumerate(seeds):
-        span, places = len(seed), [i for i, c in enumerate(seed) if c == "1"]
+    for seed in seeds:
+        k, span, places = int(seed, 2), len(seed), [i for i, c in enumerate(seed) if c == "1"]
         own = ", ".join("c" if i == 0 else f"get({codes}, i + {i})" for i in places)
         out.append(f"transform(slice({codes}, 1, greatest(size({codes}) - {span - 1}, 0)), (c, i) -> xxhash64({k}, {own}))")
     return out
@@ -48,20 +48,26 @@ def positions(df: DataFrame, keys: list[str], seeds: tuple[str, ...]) -> DataFra
 def find(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS, window: int = WINDOW, least_share: float = LEAST_SHARE, limit: int = 200_000) -> DataFrame:
     """One row per leaked item and row key of docs: doc_id, h (row_key's hash of the text), item_id, start (word of the document), matched, share.
 
-    docs: doc_id, text. benchmark: item_id, text. Null and empty texts have no words; items shorter than the longest seed have no hashes
-    and are never found. Items with equal words count as the one with the smallest id. Repeated rows share their findings.
+    docs: doc_id, text. benchmark: item_id, text. Null and empty texts have no words and are never found. Items shorter than the shortest
+    seed are found where all their words stand unchanged. Items with equal words count as the one with the smallest id. Repeated rows share their findings.
     """
     require(docs, ["doc_id", "text"])
     require(benchmark, ["item_id", "text"])
     items = materialise(
-        benchmark.selectExpr("item_id", f"{words_of('text')} as iwords").groupBy("iwords").agg(F.min("item_id").alias("item_id")).selectExpr("item_id", "iwords").where(F.size("iwords") >= max(map(len, seeds)))
+        benchmark.selectExpr("item_id", f"{words_of('text')} as iwords").groupBy("iwords").agg(F.min("item_id").alias("item_id")).selectExpr("item_id", "iwords").where(F.size("iwords") > 0)
     )
-    asked = materialise(positions(items.selectExpr("item_id", "transform(iwords, w -> xxhash64(w)) as codes"), ["item_id"], seeds).select("item_id", F.col("pos").alias("ipos"), "hash"))
+    item_codes = items.selectExpr("item_id", "transform(iwords, w -> xxhash64(w)) as codes")
+    asked = positions(item_codes, ["item_id"], seeds)
+    shortest = min(map(len, seeds))
+    whole = [r.n for r in items.select(F.size("iwords").alias("n")).where(F.col("n") < shortest).distinct().orderBy("n").collect()]
+    for n in whole:
+        asked = asked.unionByName(positions(item_codes.where(F.size("codes") == n), ["item_id"], ("1" * n,)))
+    asked = materialise(asked.select("item_id", F.col("pos").alias("ipos"), "hash"))
     n_items, n_asked = items.count(), asked.count()
     split = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text"))["h"].alias("h"), F.expr(words_of("text")).alias("words"))
     coded = split.selectExpr("doc_id", "h", "transform(words, w -> xxhash64(w)) as codes")
     hits = (
-        positions(coded, ["doc_id", "h"], seeds)
+        positions(coded, ["doc_id", "h"], (*seeds, *("1" * n for n in whole)))
         .join(sized(asked, n_asked, limit), "hash")
         .select("doc_id", "h", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"))
         .distinct()

@@ -200,6 +200,14 @@ def test_leaks_with_substitutions_and_through_both_joins(spark, docs, empty):
     assert decontam.clean(docs, bench).count() == len(TEXTS) and decontam.find(empty, bench).count() == 0 and decontam.find(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 10)]
+    texts = [(n, f"before {t} after") for n, t in items] + [(20 + n, f"before {t.rsplit(' ', 1)[0]} other") for n, t in items if 1 < n < 7]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.matched, r.share) for r in found) == [(n, n, 1, n, 1.0) for n in range(1, 10)]
+
+
 def brute_quality(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
