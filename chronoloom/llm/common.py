@@ -26,6 +26,7 @@ ship_by_value(__name__)
 
 #: Rows of a side that may be broadcast: at most this many rows of a few short columns, some tens of MB.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32_000_000
 #: Bytes of text that a worker lays out in arrays at a time.
 SLICE_BYTES = 2_000_000
 
@@ -51,15 +52,50 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast if the counted rows are within the limit; beyond it Spark shuffles both sides and splits skewed partitions."""
+    """Hints a broadcast if the counted rows, all of them short, are within the limit; beyond it Spark shuffles both sides and splits
+    skewed partitions."""
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
+def sized_bytes(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The same for a table whose rows differ in size: the sizes are summed up."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df.hint("merge")
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart by id and text, so that rows with one id (or none) but other texts stay separate; fully repeated rows share it."""
     return F.struct(doc_id.alias("id"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7)).alias("h"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names close to the given ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the text hash of row_key under a name that is free."""
+    (h,) = fresh(docs, "row_hash")
+    return docs.withColumn(h, row_key(F.col("doc_id"), F.col("text"))["h"]), h
+
+
+def meet(docs: DataFrame, h: str, found: DataFrame, how: str, rows: int) -> DataFrame:
+    """Joins docs, which has its text hash under the name h, with found (doc_id, h and columns that docs has not) by the row key."""
+    kid, kh = fresh(docs, "key_id", "key_hash")
+    right = sized(found.withColumnsRenamed({"doc_id": kid, "h": kh}), rows)
+    out = docs.join(right, docs["doc_id"].eqNullSafe(right[kid]) & (docs[quoted(h)] == right[kh]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(kid, kh)
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -4,6 +4,10 @@ From each rule's regular expression a Boolean query over trigrams is derived: wh
 trigram that some rule asks for, the rows whose lower-cased text contains it; postings of a row meet in one bit set, and a rule's
 candidates are the rows whose bits satisfy its query. Only candidates are searched with the expression itself. Rules without mandatory
 trigrams, such as a run of hexadecimal digits, are searched in all texts.
+
+Every expression repeats only classes of characters, which Java matches in a loop, and no two of its places where a match can begin read
+the same long run of characters, so that time grows with the length of a text and the stack not at all. The places of matches are running
+sums over the lengths of the pieces between them, taken by a window over a row's matches; no array grows by one at a time.
 """
 
 from __future__ import annotations
@@ -13,10 +17,10 @@ from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, require, row_key, sized
+from chronoloom.llm.common import fresh, materialise, meet, quoted, require, row_key, with_key
 
 
 @dataclass(frozen=True)
@@ -35,15 +39,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Public formats of tokens and keys.
+#: Public formats of tokens and keys. The limits of 20 and 256 characters belong to the rule of logins in URLs.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[opusr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\x20\x09-\x0D/:@]{1,256}:[^\x20\x09-\x0D/:@]{1,256}@"),
 )
 RULES = BASE + MORE
 
@@ -145,9 +149,11 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """kid, kh, can: rows that satisfy the query of a rule with mandatory trigrams, and a bit for each rule."""
+    """doc_id, h, can: rows that satisfy the query of a rule with mandatory trigrams, and a bit for each rule."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(mentioned, queries)))
+    if not trigrams:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("can")).where("false")
     bits = {t: k for k, t in enumerate(trigrams)}
     sets = [F.expr(f"bit_or(case when trigram div 62 = {k} then shiftleft(1L, trigram % 62) else 0L end)").alias(f"b{k}") for k in range((len(trigrams) + 61) // 62)]
     met = postings(docs, trigrams).groupBy("doc_id", "h").agg(*sets).withColumn("bits", F.array(*(f"b{k}" for k in range(len(sets)))))
@@ -155,61 +161,83 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     for k, q in enumerate(queries):
         if q is not True:
             can = can.bitwiseOR(F.when(satisfied(q, bits, "bits"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return met.select(F.col("doc_id").alias("kid"), F.col("h").alias("kh"), can.alias("can")).where("can <> 0")
+    return met.select("doc_id", "h", can.alias("can")).where("can <> 0")
 
 
-_SPANS = "array<struct<start: int, kind: int, stop: int>>"
-_STATE = f"struct<at: int, out: {_SPANS}>"
+_PIECE = "struct<kind: int, i: int, gap: int, bgap: int, n: int, bn: int, tested: int>"
 
 
-def spans_of(rule: Rule, order: int) -> str:
-    """SQL for the array of (start, kind, stop) of the rule's matches in text: lengths of the pieces between matches and of the matches add up."""
+def pieces_of(rule: Rule, order: int) -> str:
+    """SQL for the rule's matches in body: the lengths, in characters and bytes, of the piece before each match and of the match."""
     p = "r'" + rule.pattern.replace("'", r"\x27") + "'"
-    lengths = f"transform(regexp_extract_all(text, {p}, 0), x -> length(x))"
-    between = f"transform(split(text, {p}, -1), x -> length(x))"
-    tested = f"transform(regexp_extract_all(text, {p}, {rule.group}), x -> length(x))"
-    walk = (
-        f"aggregate(arrays_zip({between}, {lengths}, {tested}), cast(struct(0 as at, array() as out) as {_STATE}), "
-        f"(s, x) -> cast(struct(s.at + x.`0` + coalesce(x.`1`, 0) as at, case when x.`2` >= {rule.least} then array_append(s.out, struct(s.at + x.`0` as start, {order} as kind, s.at + x.`0` + x.`1` as stop)) else s.out end as out) as {_STATE}), s -> s.out)"
+    zipped = f"arrays_zip(split(body, {p}, -1), regexp_extract_all(body, {p}, 0), regexp_extract_all(body, {p}, {rule.group}))"
+    lengths = "length(x.`0`), octet_length(x.`0`), length(x.`1`), octet_length(x.`1`), length(x.`2`)"
+    return f"filter(transform({zipped}, (x, i) -> cast(struct({order}, i, {lengths}) as {_PIECE})), x -> x.n is not null)"
+
+
+def located(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, h, kind, start, stop, and bstart and bstop in bytes: the matches of each distinct row key, failing ones dropped."""
+    found = materialise(candidates(docs, rules))
+    rows, h = with_key(docs.select("doc_id", "text"))
+    searched = meet(rows, h, found, "left", found.count()).select("doc_id", F.col(h).alias("h"), "can", F.coalesce("text", F.lit("")).alias("body"))
+    parts = []
+    for k, rule in enumerate(rules):
+        p = "r'" + rule.pattern.replace("'", r"\x27") + "'"
+        asked = f"body rlike {p}" if trigram_query(rule.pattern) is True else f"coalesce(can, 0) & {1 << k} <> 0 and body rlike {p}"
+        parts.append(f"case when {asked} then {pieces_of(rule, k)} else cast(array() as array<{_PIECE}>) end")
+    flat = searched.select("doc_id", "h", F.expr(f"explode(concat({', '.join(parts)}))").alias("m")).select("doc_id", "h", "m.*")
+    # repeated rows have the same pieces
+    once = flat.groupBy("doc_id", "h", "kind", "i").agg(*(F.first(c).alias(c) for c in ("gap", "bgap", "n", "bn", "tested")))
+    so_far = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = once.withColumn("stop", F.sum(F.col("gap") + F.col("n")).over(so_far)).withColumn("bstop", F.sum(F.col("bgap") + F.col("bn")).over(so_far))
+    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("kind") + 1)
+    return placed.where(F.col("tested") >= least).select(
+        "doc_id", "h", "kind", (F.col("stop") - F.col("n")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), (F.col("bstop") - F.col("bn")).cast("int").alias("bstart"), F.col("bstop").cast("int").alias("bstop")
     )
-    return walk
+
+
+_SPANS = "array<struct<start: int, kind: int, stop: int>>"
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows and columns of docs (doc_id, text) with secrets: an array of (start, kind number in rules, stop) in code points, sorted.
 
     Of each kind the leftmost non-overlapping matches; kinds may overlap each other. A null text counts as empty: no secrets. Rows that
-    share an id, or have none, are searched on their own; repeated rows each give a row. An existing column named secrets is replaced.
+    share an id, or have none, are searched on their own; repeated rows each give a row with the same spans. Texts of any length and any
+    number of matches are searched whole. An empty table gives an empty result. A column named secrets is replaced; others of any name stay.
     """
     require(docs, ["doc_id", "text"])
     docs = docs.drop("secrets")
-    can = materialise(candidates(docs, rules))
-    can = sized(can, can.count())
-    hashed = docs.withColumn("__h", row_key(F.col("doc_id"), F.col("text"))["h"])
-    joined = hashed.join(can, hashed["doc_id"].eqNullSafe(can["kid"]) & (hashed["__h"] == can["kh"]), "left")
-    # Apart from the original text, one that is not null is searched.
-    none = f"cast(array() as {_SPANS})"
-    searched = joined.select(*docs.columns, "can", F.coalesce("text", F.lit("")).alias("__text"))
-    parts = []
-    for k, rule in enumerate(rules):
-        quoted = "r'" + rule.pattern.replace("'", r"\x27") + "'"
-        asked = f"__text rlike {quoted}" if trigram_query(rule.pattern) is True else f"coalesce(can, 0) & {1 << k} <> 0 and __text rlike {quoted}"
-        parts.append(f"case when {asked} then {spans_of(rule, k).replace('(text,', '(__text,')} else {none} end")
-    return searched.select(*docs.columns, F.expr(f"array_sort(concat({', '.join(parts)}))").alias("secrets"))
+    own = materialise(located(docs, rules).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("secrets")))
+    rows, h = with_key(docs)
+    out = meet(rows, h, own, "left", own.agg(F.sum(F.size("secrets"))).first()[0] or 0)
+    return out.select(*map(quoted, docs.columns), F.expr(f"coalesce(secrets, cast(array() as {_SPANS}))").alias("secrets"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with each stretch of secrets (overlapping ones together) in the text replaced by the mark; n_chars, if there, follows the text."""
-    found = find(docs, rules)
-    kept = (
-        "aggregate(secrets, struct(0 as at, '' as out), (s, x) -> struct(greatest(s.at, x.stop) as at, "
-        f"case when x.start >= s.at then concat(s.out, substring(text, s.at + 1, x.start - s.at), '{mark}') else s.out end as out), "
-        "s -> concat(s.out, substring(text, s.at + 1, length(text))))"
-    )
-    out = found.withColumn("text", F.expr(f"case when size(secrets) > 0 then {kept} else text end"))
+    """docs with each stretch of secrets (overlapping ones together) in the text replaced by the mark; n_chars, if there, follows the text.
+
+    No row and no column goes; rows are treated as ``find`` treats them. Texts without secrets stay as they are, null ones null.
+    """
+    require(docs, ["doc_id", "text"])
+    order = Window.partitionBy("doc_id", "h").orderBy("bstart", "bstop")
+    before = F.max("bstop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = located(docs, rules).withColumn("new", F.when(F.col("bstart") < before, 0).otherwise(1))
+    met = met.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = met.groupBy("doc_id", "h", "stretch").agg(F.min("bstart").alias("a"), F.max("bstop").alias("z"))
+    rows, h = with_key(docs)
+    (cuts,) = fresh(rows, "cuts")
+    own = materialise(merged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias(cuts)))
+    out = meet(rows, h, own, "left", own.agg(F.sum(F.size(cuts))).first()[0] or 0)
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["z"]))
+    stops = F.concat(F.transform(cuts, lambda c: c["a"]), F.array(F.octet_length("text")))
+    # the text's bytes are bound once, and pieces are cut from them by place
+    rest = F.transform(F.array(F.col("text").cast("binary")), lambda body: F.array_join(F.zip_with(starts, stops, lambda a, z: F.substring(body, a + 1, z - a).cast("string")), mark))[0]
+    some = F.col(cuts).isNotNull()
+    changed = out.withColumn("text", F.when(some, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("secrets")
+        changed = changed.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return changed.select(*map(quoted, docs.columns))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
