@@ -4,23 +4,22 @@ Rows are shuffled within each source by a seeded hash of their id and ranked; ra
 all rows by that share interleaves the sources in proportion, and cutting the order into stretches of equal length gives shards that each
 have the whole mixture. Counts differ by at most one row.
 
-Neither ranking brings a source, or all rows, into one task: a source's rows are split by the leading bits of the hash, the whole order
-by the leading part of the share, into cells of about ``cell_rows`` rows. Counts of cells give each cell's first rank.
+Neither ranking brings a source, or all rows, into one task: rows are range-partitioned by the whole sort key, to which the number that
+Spark gives each row is added last, so that even a third of all rows alike in everything are split. A row's rank is its place in its
+partition plus the rows of the partitions before. Equal texts are not kept together: interleaving has no groups.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, require, sized
+from chronoloom.llm.common import fresh, materialise, quoted, require, sized
 
 SHARDS = 8
 SEED = "mix-1"
-CELL_ROWS = 50_000
-_BITS = 60
+#: Bits of monotonically_increasing_id that count the rows of a partition; the others are the partition's number.
+_ROW_BITS = 33
 
 
 def shuffle_key(seed: str) -> str:
@@ -28,61 +27,55 @@ def shuffle_key(seed: str) -> str:
     return f"cast(conv(substring(md5(cast(concat('{seed}:', coalesce(cast(doc_id as string), 'null')) as binary)), 1, 15), 16, 10) as bigint)"
 
 
-def _firsts(cells: DataFrame, by: list[str], cell: str) -> DataFrame:
-    """Rows before each cell in the order of cells, within by."""
-    over = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(*by, cell, F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds each row's place, from 0, in the order of all rows; evaluated once. One row a partition is all that meets in a task."""
+    made, part, before = fresh(df, "made", "part", "before")
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(made, F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright(made, _ROW_BITS).alias(part)).agg(F.count("*").alias("n"))
+    firsts = materialise(counts.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before)))
+    joined = placed.join(sized(firsts, firsts.count()), F.shiftright(made, _ROW_BITS) == F.col(part))
+    return joined.withColumn(name, F.col(made).bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col(before)).drop(made, part, before)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum: str = "source", cell_rows: int = CELL_ROWS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum: str = "source", keep: bool = False) -> DataFrame:
     """Gives every row of docs (doc_id, text and the stratum's column) doc_id, size, text_crc32, shard and slot.
 
     size is the text's UTF-8 bytes plus one, one for null. A null stratum is a stratum of its own. Rows that share an id (or have none)
-    follow each other by text; rows alike in stratum, id and text can be exchanged without a difference. Equal texts are not kept together:
-    only the rows' number is held even. An empty table gives an empty result.
+    follow each other by text; rows alike in stratum, id and text can be exchanged without a difference. Rows of two sources with equal
+    shares are in the order of the sources' names. Equal texts are not kept together: only the rows' number is held even. Texts of any
+    length count by their size. Other columns are not read; with keep, all columns of docs come along in a struct named row. An empty
+    table gives an empty result.
     """
     require(docs, ["doc_id", "text", stratum])
     light = docs.select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").__add__(1).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"),
+        F.coalesce(F.concat(F.lit("="), F.col(quoted(stratum)).cast("string")), F.lit("null")).alias("stratum"),
         F.expr(shuffle_key(seed)).alias("key"),
+        F.monotonically_increasing_id().alias("n"),
+        *([F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")] if keep else []),
     )
-    light = materialise(light)
-    total = light.count()
-    cells = max(1, math.ceil(total / cell_rows))
-    bits = max(0, math.ceil(math.log2(cells)))
-    light = light.withColumn("cell", F.shiftright("key", _BITS - bits) if bits else F.lit(0).cast("long"))
-    counted = materialise(light.groupBy("stratum", "cell").agg(F.count("*").alias("n")))
-    n_cells = counted.count()
-    firsts = _firsts(counted, ["stratum"], "cell")
-    sizes = counted.groupBy("stratum").agg(F.sum("n").alias("of"))
-    within = Window.partitionBy("stratum", "cell").orderBy("key", "doc_id", "text_crc32", "size")
-    ranked = (
-        light.withColumn("r", F.row_number().over(within))
-        .join(sized(firsts, n_cells), ["stratum", "cell"])
-        .join(sized(sizes, n_cells), "stratum")
-        .withColumn("share", (2.0 * (F.col("r") + F.col("before")) - 1.0) / (2.0 * F.col("of")))
-        .select("doc_id", "size", "text_crc32", "stratum", "share", F.floor(F.col("share") * cells).alias("place"))
-    )
-    ranked = materialise(ranked)
-    places = _firsts(ranked.groupBy("place").agg(F.count("*").alias("n")), [], "place")
-    whole = Window.partitionBy("place").orderBy("share", "stratum")
-    at = F.row_number().over(whole) + F.col("before") - 1
+    rows = ["row"] if keep else []
+    # evaluated once, so that n stays what it is
+    placed = numbered(materialise(light), ["stratum", "key", "doc_id", "text_crc32", "size", "n"], "place")
+    sizes = materialise(placed.groupBy("stratum").agg(F.min("place").alias("first"), F.count("*").alias("of")))
+    total = sizes.agg(F.sum("of")).first()[0] or 0
+    shares = placed.join(sized(sizes, sizes.count()), "stratum").withColumn("share", (2.0 * (F.col("place") - F.col("first") + 1) - 1.0) / (2.0 * F.col("of")))
+    mixed = numbered(shares.select("doc_id", "size", "text_crc32", "stratum", "share", *rows), ["share", "stratum"], "at")
     return (
-        ranked.join(sized(places, cells), "place")
-        .withColumn("at", at.cast("long"))
-        .withColumn("shard", F.floor(F.col("at") * shards / F.lit(max(1, total))).cast("int"))
+        mixed.withColumn("shard", F.floor(F.col("at") * shards / F.lit(max(1, total))).cast("int"))
         .withColumn("slot", F.col("at") - F.ceil(F.col("shard").cast("long") * F.lit(total) / F.lit(shards)).cast("long"))
-        .select("doc_id", "size", "text_crc32", "shard", "slot")
+        .select("doc_id", "size", "text_crc32", "shard", "slot", *rows)
     )
 
 
-def write(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes docs (unique ids) into one folder per shard, rows in the order of their slots."""
-    rows = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write(docs: DataFrame, path: str, **options) -> None:
+    """Writes all rows of docs into one folder per shard, in the order of their slots. A column shard of docs is replaced."""
+    assigned = assign(docs, keep=True, **options)
+    (slot,) = fresh(docs, "slot")
+    rows = assigned.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "shard"), "shard", F.col("slot").alias(slot))
+    rows.repartitionByRange("shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def digest(assigned: DataFrame) -> DataFrame:
