@@ -4,10 +4,11 @@ Every task packs the documents of its input partition as they stream by. A docum
 their own; the rest, shorter than a sequence, goes to the open sequence whose fill level makes the sum of squared counts of open
 sequences per level smallest, a new sequence being level 0. The counts stand in an array by level; ties go to the fullest level.
 
-A sequence leaves the task once it is full. Sequences still open at the end, and beyond ``most_open`` at once, are drained: pieces
-of the emptiest are cut to fill the fullest, so that a task leaves one sequence that is not full; that one is padded.
+A sequence leaves the task once it is full. At the end the open ones are drained: pieces of the emptiest are cut to fill the fullest, so
+that a task leaves one sequence that is not full; that one is padded. If there are more than ``most_open`` before the end, as where all
+pieces are longer than half a sequence, the fullest sixteenth of them is filled up so; all others stay open, and the rule goes on.
 
-Only open sequences are held, at most ``most_open`` of them. sequence_id is the task's number times 2**32 plus a count: a task that is
+Only open sequences are held, at most ``most_open`` of them, with two bytes a token. sequence_id is the task's number times 2**32 plus a count: a task that is
 run again after a lost executor gives the same rows.
 """
 
@@ -30,7 +31,7 @@ ship_by_value(__name__)
 
 LENGTH = 4096
 END_ID = 2
-MOST_OPEN = 2048
+MOST_OPEN = 4096
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that are encoded at a time.
 CODED = 4096
@@ -164,16 +165,16 @@ class SumOfSquares:
             return [sequence]
         self.open.setdefault(level + size, []).append(sequence)
         self.count[level + size] += 1
-        return self.drain() if self.n_open > self.most_open else []
+        return self.drain(max(1, self.most_open // 16)) if self.n_open > self.most_open else []
 
-    def drain(self, last: bool = False) -> list[list[Piece]]:
-        """Fills the fullest open sequences with pieces of the emptiest, cut where they must be. One stays open, or comes last."""
+    def drain(self, most: int | None = None) -> list[list[Piece]]:
+        """Fills the fullest open sequences, at most so many, with pieces of the emptiest, cut where they must be; the others stay open.
+
+        Without a number all are filled, and the one that is left over comes last.
+        """
         rest = [s for level in sorted(self.open) for s in self.open[level]]
-        self.open, self.n_open = {}, 0
-        self.count[:] = 0
-        out = []
-        low, high = 0, len(rest) - 1
-        while low < high:
+        out, low, high = [], 0, len(rest) - 1
+        while low < high and (most is None or len(out) < most):
             target = rest[high]
             room = self.length - sum(len(p.ids) for p in target)
             while room and low < high:
@@ -189,15 +190,16 @@ class SumOfSquares:
                 break
             out.append(target)
             high -= 1
-        if low <= high:
-            remaining = rest[high] if low == high else None
-            if remaining is not None:
-                if last or sum(len(p.ids) for p in remaining) == self.length:
-                    out.append(remaining)
-                else:
-                    level = sum(len(p.ids) for p in remaining)
-                    self.open[level], self.n_open = [remaining], 1
-                    self.count[level] = 1
+        left = rest[low : high + 1]
+        self.open, self.n_open = {}, 0
+        self.count[:] = 0
+        if most is None:
+            return out + left
+        for sequence in left:
+            level = sum(len(p.ids) for p in sequence)
+            self.open.setdefault(level, []).append(sequence)
+            self.count[level] += 1
+            self.n_open += 1
         return out
 
 
@@ -205,7 +207,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A null or empty text is the one id end_id. Rows are packed one by one, so rows that share an id, or have none, each get their own
-    pieces. Texts of any length are cut into stretches. An empty table gives an empty result. Other columns are not read.
+    pieces. Texts of any length are cut into stretches; of levels with equal growth the fullest is taken. An empty table gives an empty
+    result. Other columns, whatever their names, are not read.
     """
     require(docs, ["doc_id", "text"])
     path = path or tokenizer_path()
@@ -214,6 +217,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         coder, packer = worker_cache(f"tokens {path}", lambda: WordTokens(path)), SumOfSquares(length, most_open)
         context = TaskContext.get()
         base, made = (context.partitionId() if context else 0) << 32, 0
+        held = np.uint16 if coder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
         end = np.array([end_id], np.uint32)
         rows: list[tuple] = []
 
@@ -243,12 +247,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
             for a, z in slices(offsets, SLICE_BYTES // 2):
                 tokens, at = coder.encode(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
                 for r in range(a, z):
-                    own = np.concatenate([tokens[at[r - a] : at[r - a + 1]], end])
+                    own = np.concatenate([tokens[at[r - a] : at[r - a + 1]], end]).astype(held)
                     for s in range(0, len(own), length):
                         emit(packer.put(Piece(ids[r], s, own[s : s + length], len(own))))
                 if rows:
                     yield flush()
-        emit(packer.drain(last=True))
+        emit(packer.drain())
         if rows:
             yield flush()
 
