@@ -2,8 +2,8 @@
 
 All rolling 3-word hashes of all documents are joined with the positions of the same hashes in license templates. A hit lies on the
 diagonal document position minus template position; hits are counted by diagonal, neighbouring diagonals of a template are merged (words
-put in or left out shift the diagonal), and a merged span counts if it has enough of its template's word runs. Every hit is verified on
-its words. The join is against a fixed table of templates, which is broadcast; a group is one document, template and diagonal.
+put in or left out shift the diagonal), and a merged span counts if it has enough of its template's word runs. A hit has two equal hashes
+of its words, of 64 and 32 bits. The join is against a fixed table of templates, which is broadcast; a group is one document, template and diagonal.
 """
 
 from __future__ import annotations
@@ -39,18 +39,19 @@ NOTICES = {
 
 
 def words_of(column: str) -> str:
-    r"""SQL for the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text."""
-    return rf"filter(split(lower(coalesce({column}, '')), r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', -1), w -> w <> '')"
+    r"""SQL for the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lower-cased."""
+    return rf"filter(split(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', -1), w -> w <> '')"
 
 
-GRAMS = f"transform(slice(words, 1, greatest(size(words) - {GRAM - 1}, 0)), (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2)))"
+_RUN = "w, get(words, i + 1), get(words, i + 2)"
+GRAMS = f"transform(slice(words, 1, greatest(size(words) - {GRAM - 1}, 0)), (w, i) -> struct(xxhash64({_RUN}) as gram, hash({_RUN}) as check))"
 
 
 def templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """gram, tid, label, base, tpos, tgrams, tname: a row for each word run of each template."""
+    """gram, check, tid, label, base, tpos, tgrams: a row for each word run of each template."""
     rows = [(f"p{k}", label, True, text) for k, (text, label) in enumerate(phrases.items())] + [(f"n{k}", label, False, text) for k, (label, text) in enumerate(notices.items())]
     df = spark.createDataFrame(rows, "tid string, label string, base boolean, text string").selectExpr("tid", "label", "base", f"{words_of('text')} as words").selectExpr("*", f"{GRAMS} as grams")
-    return df.selectExpr("tid", "label", "base", "size(grams) as tgrams", "words as twords", "posexplode(grams) as (tpos, gram)").selectExpr("tid", "label", "base", "tgrams", "tpos", "gram", f"slice(twords, tpos + 1, {GRAM}) as run")
+    return df.selectExpr("tid", "label", "base", "size(grams) as tgrams", "posexplode(grams) as (tpos, g)").selectExpr("tid", "label", "base", "tgrams", "tpos", "g.gram", "g.check")
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, neighbour: int = NEIGHBOUR, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -58,16 +59,17 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     labels, score, spans (label, start and end word, share).
 
     A null or empty text has no words, no labels and the score 0. Rows that repeat id and text have equal results; rows that share an id
-    only, or have none, are scanned on their own. An empty table gives an empty result.
+    only, or have none, are scanned on their own. Spans of equal labels and starts are sorted by their ends. Texts of any length are scanned
+    whole; columns of docs with names that are used here do no harm. An empty table gives an empty result.
     """
     require(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     known = templates(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
     split = docs.select(F.col("doc_id"), row_key(F.col("doc_id"), F.col("text"))["h"].alias("h"), F.expr(words_of("text")).alias("words"))
-    rolled = split.select("doc_id", "h", "words", F.expr(f"posexplode({GRAMS})").alias("pos", "gram"))
+    # the words stay behind: a text of a million words makes a million short rows
+    rolled = split.select("doc_id", "h", F.expr(f"posexplode({GRAMS})").alias("pos", "g")).select("doc_id", "h", "pos", "g.gram", "g.check")
     hits = (
-        rolled.join(F.broadcast(known), "gram")
-        .where(F.expr(f"slice(words, pos + 1, {GRAM}) = run"))
+        rolled.join(F.broadcast(known), ["gram", "check"])
         .select("doc_id", "h", "tid", "label", "base", "tgrams", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     )
     lines = hits.groupBy("doc_id", "h", "tid", "label", "base", "tgrams", "diagonal").agg(F.collect_set("tpos").alias("at"))
