@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, require, sized
+from chronoloom.llm.common import fresh, materialise, quoted, require, sized
 
 #: Kinds of entries: host matches the whole host only, domain the host and all hosts under it.
 KINDS = ("host", "domain")
@@ -40,19 +40,21 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Adds to every row of captures (url, fetched_at) host, blocked, rule_kind, rule_value, reason and listed_since.
 
     Of several rules that cover the fetch the longest value counts, a host before a domain. A null URL, one without a host, and a null
-    fetch time are never blocked. Rows are judged one by one, so repeated rows each give a row. Columns of the result that captures has
-    already are replaced.
+    fetch time are never blocked. Rows are judged one by one, so repeated rows each give a row. Two entries of one rule at the same time are
+    one. Columns of the result that captures has already are replaced; others of any name stay. An empty table gives an empty result.
     """
     require(captures, ["url", "fetched_at"])
     rules = materialise(validity(entries))
-    named = captures.drop("host", "blocked", "rule_kind", "rule_value", "reason", "listed_since").withColumn("host", host_of(F.col("url")))
+    kept = captures.drop("host", "blocked", "rule_kind", "rule_value", "reason", "listed_since")
+    met_host, met_at, rule = fresh(kept, "met_host", "met_at", "rule")
+    named = kept.withColumn("host", host_of(F.col("url")))
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     asked = named.select("host", "fetched_at").where(F.col("host").isNotNull() & F.col("fetched_at").isNotNull()).distinct()
     asked = asked.select("host", "fetched_at", F.explode(above).alias("value"))
     covers = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))) & ((F.col("kind") == "domain") | (F.col("value") == F.col("host")))
     order = F.struct(F.length("value").alias("n"), F.col("kind").alias("rule_kind"), F.col("value").alias("rule_value"), "reason", F.col("valid_from").alias("listed_since"))
-    met = asked.join(sized(rules, rules.count(), 200_000), "value").where(covers).groupBy("host", "fetched_at").agg(F.max(order).alias("rule"))
+    met = asked.join(sized(rules, rules.count(), 200_000), "value").where(covers).groupBy(F.col("host").alias(met_host), F.col("fetched_at").alias(met_at)).agg(F.max(order).alias(rule))
     met = materialise(met)
-    out = named.join(sized(met, met.count(), 200_000), ["host", "fetched_at"], "left")
-    return out.select(*(c for c in named.columns), F.col("rule").isNotNull().alias("blocked"), "rule.rule_kind", "rule.rule_value", "rule.reason", "rule.listed_since")
+    out = named.join(sized(met, met.count(), 200_000), (named["host"] == met[met_host]) & (named["fetched_at"] == met[met_at]), "left")
+    return out.select(*map(quoted, named.columns), F.col(rule).isNotNull().alias("blocked"), *(F.col(rule)[c].alias(c) for c in ("rule_kind", "rule_value", "reason", "listed_since")))
