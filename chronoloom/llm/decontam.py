@@ -5,7 +5,12 @@ gives the hashes of all positions under every seed; equal hashes are hits, which
 hit the item's words are compared with the document's: the item counts as leaked if, somewhere in it, ``window`` consecutive words (all,
 in shorter items) agree with the document in at least ``least_share`` of their places. So substituted words do not hide a leak.
 
-The benchmark's hashes are broadcast if they are few, else both sides are shuffled; so are the hits with the documents they verify.
+The seeds miss nothing that the comparison would accept: of every way to choose the places of the words that may differ, in 16 words or
+any shorter item down to 10, some position of some seed has ones on the others only (a test tries all of them). Items of 7 to 9 words are
+asked by seeds of their own, and items of fewer are found where all their words stand unchanged.
+
+The benchmark's hashes are broadcast if they are few, its words if their bytes are, else both sides are shuffled; so are the hits with the
+documents they verify.
 """
 
 from __future__ import annotations
@@ -13,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, require, row_key, sized
+from chronoloom.llm.common import BROADCAST_BYTES, materialise, meet, require, row_key, sized, sized_bytes, with_key
 
-SEEDS = ("1101011", "111010011")
+SEEDS = ("111011", "1101011", "11100101")
+#: Items of fewer than LONG words, and of SHORT at least, are asked by these.
+SHORT_SEEDS = ("1111", "11101")
+LONG, SHORT = 10, 7
 WINDOW = 16
 LEAST_SHARE = 0.8
 
@@ -45,11 +53,15 @@ def positions(df: DataFrame, keys: list[str], seeds: tuple[str, ...]) -> DataFra
     return flat.selectExpr(*keys, f"{pos} as pos", "hash")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS, window: int = WINDOW, least_share: float = LEAST_SHARE, limit: int = 200_000) -> DataFrame:
+def find(
+    docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS, short_seeds: tuple[str, ...] = SHORT_SEEDS, window: int = WINDOW, least_share: float = LEAST_SHARE, limit: int = 200_000, limit_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """One row per leaked item and row key of docs: doc_id, h (row_key's hash of the text), item_id, start (word of the document), matched, share.
 
-    docs: doc_id, text. benchmark: item_id, text. Null and empty texts have no words and are never found. Items shorter than the shortest
-    seed are found where all their words stand unchanged. Items with equal words count as the one with the smallest id. Repeated rows share their findings.
+    docs: doc_id, text. benchmark: item_id, text. Other columns of either, whatever their names, are not read. Null and empty texts have no
+    words and are never found. Items of fewer than ``SHORT`` words are found where all their words stand unchanged. Items with equal words
+    count as the one with the smallest id. Repeated rows share their findings. Of equally good places the first counts. Texts of any
+    length are read whole; an empty table on either side gives an empty result.
     """
     require(docs, ["doc_id", "text"])
     require(benchmark, ["item_id", "text"])
@@ -57,23 +69,31 @@ def find(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS,
         benchmark.selectExpr("item_id", f"{words_of('text')} as iwords").groupBy("iwords").agg(F.min("item_id").alias("item_id")).selectExpr("item_id", "iwords").where(F.size("iwords") > 0)
     )
     item_codes = items.selectExpr("item_id", "transform(iwords, w -> xxhash64(w)) as codes")
-    asked = positions(item_codes, ["item_id"], seeds)
-    shortest = min(map(len, seeds))
-    whole = [r.n for r in items.select(F.size("iwords").alias("n")).where(F.col("n") < shortest).distinct().orderBy("n").collect()]
-    for n in whole:
-        asked = asked.unionByName(positions(item_codes.where(F.size("codes") == n), ["item_id"], ("1" * n,)))
+    n = F.size("codes")
+    lengths = [r.n for r in items.select(F.least(F.size("iwords"), F.lit(LONG)).alias("n")).distinct().orderBy("n").collect()]
+    asked, masks = positions(item_codes.where(n >= LONG), ["item_id"], seeds), list(seeds) if LONG in lengths else []
+    if any(SHORT <= k < LONG for k in lengths):
+        asked = asked.unionByName(positions(item_codes.where((n >= SHORT) & (n < LONG)), ["item_id"], short_seeds))
+        masks += short_seeds
+    for k in lengths:
+        if k < SHORT:
+            asked = asked.unionByName(positions(item_codes.where(n == k), ["item_id"], ("1" * k,)))
+            masks += [] if "1" * k in masks else ["1" * k]
     asked = materialise(asked.select("item_id", F.col("pos").alias("ipos"), "hash"))
-    n_items, n_asked = items.count(), asked.count()
-    split = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text"))["h"].alias("h"), F.expr(words_of("text")).alias("words"))
-    coded = split.selectExpr("doc_id", "h", "transform(words, w -> xxhash64(w)) as codes")
+    n_asked, item_bytes = asked.count(), F.octet_length(F.array_join("iwords", " "))
+    rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text"))["h"].alias("h"), "text")
+    coded = rows.selectExpr("doc_id", "h", f"transform({words_of('text')}, w -> xxhash64(w)) as codes")
     hits = (
-        positions(coded, ["doc_id", "h"], (*seeds, *("1" * n for n in whole)))
+        positions(coded, ["doc_id", "h"], tuple(masks) or seeds)
         .join(sized(asked, n_asked, limit), "hash")
         .select("doc_id", "h", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"))
         .distinct()
     )
     hits = materialise(hits).select(F.col("doc_id").alias("kid"), F.col("h").alias("kh"), "item_id", "diagonal")
-    laid = split.join(sized(hits, hits.count(), limit), split["doc_id"].eqNullSafe(hits["kid"]) & (split["h"] == hits["kh"])).join(sized(items, n_items, limit), "item_id")
+    keys = materialise(hits.select("kid", "kh").distinct())
+    # words are told apart for documents with hits only
+    near = rows.join(sized(keys, keys.count(), limit), rows["doc_id"].eqNullSafe(keys["kid"]) & (rows["h"] == keys["kh"]), "left_semi").select("doc_id", "h", F.expr(words_of("text")).alias("words"))
+    laid = near.join(sized(hits, hits.count(), limit), near["doc_id"].eqNullSafe(hits["kid"]) & (near["h"] == hits["kh"])).join(sized_bytes(items, item_bytes, limit_bytes), "item_id")
     same = laid.selectExpr("doc_id", "h", "item_id", "diagonal", f"least({window}, size(iwords)) as wide", "transform(iwords, (w, j) -> case when get(words, diagonal + j) = w then 1 else 0 end) as same")
     sums = same.selectExpr("doc_id", "h", "item_id", "diagonal", "wide", "same", "transform(sequence(0, size(same) - wide), s -> aggregate(slice(same, s + 1, wide), 0, (a, x) -> a + x)) as matches")
     scored = sums.selectExpr("doc_id", "h", "item_id", "diagonal", "array_max(matches) as matched", "array_max(matches) / wide as share", "greatest(0, diagonal + array_position(matches, array_max(matches)) - 1) as start")
@@ -84,14 +104,14 @@ def find(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS,
 def summary(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, n_items, item_id (the best, smallest of equals), start, share. None found: nulls and 0."""
     best = F.min(F.struct((-F.col("share")).alias("s"), "item_id", "start"))
-    per = materialise(found.groupBy("doc_id", "h").agg(F.count("*").alias("n_items"), best.alias("b"))).select(F.col("doc_id").alias("kid"), F.col("h").alias("kh"), "n_items", "b")
-    rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text"))["h"].alias("h"))
-    out = rows.join(sized(per, per.count()), rows["doc_id"].eqNullSafe(per["kid"]) & (rows["h"] == per["kh"]), "left")
+    per = materialise(found.groupBy("doc_id", "h").agg(F.count("*").alias("n_items"), best.alias("b")))
+    rows, h = with_key(docs.select("doc_id", "text"))
+    out = meet(rows, h, per, "left", per.count())
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("b.item_id").alias("item_id"), F.col("b.start").alias("start"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("share"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no benchmark item was found, all columns kept."""
-    found = materialise(find(docs, benchmark, **options).select(F.col("doc_id").alias("kid"), F.col("h").alias("kh")).distinct())
-    hashed = docs.withColumn("__h", row_key(F.col("doc_id"), F.col("text"))["h"])
-    return hashed.join(sized(found, found.count()), hashed["doc_id"].eqNullSafe(found["kid"]) & (hashed["__h"] == found["kh"]), "left_anti").drop("__h")
+    """The rows of docs in which no benchmark item was found, all columns kept, whatever their names."""
+    found = materialise(find(docs, benchmark, **options).select("doc_id", "h").distinct())
+    rows, h = with_key(docs)
+    return meet(rows, h, found, "left_anti", found.count()).drop(h)
