@@ -5,9 +5,10 @@ input weights are one table of 256 columns. At every position both directions' s
 document's probabilities are the mean over all its positions. Texts are read in stretches of ``STRETCH`` bytes, each from a zero state,
 so that thousands of stretches advance together and a long text needs no more memory than a short one.
 
-Training is backpropagation through time with Adam on the positions' cross-entropy, on the driver, over a bounded sample: of each
-language the ``per_language`` rows with the smallest hashes of their ids, ``WINDOWS`` stretches of each. Rows whose crc32(doc_id) is
-divisible by 5 are held out.
+Training is backpropagation through time with Adam on the positions' cross-entropy, on the driver, over a bounded sample: of each of
+the ``most_languages`` most frequent languages ``per_language`` rows with small hashes of id and beginning, ``WINDOWS`` stretches of each. A share
+of the rows, reckoned from the language's count, is taken by hash where they are read, so that only some thousands are ranked. Rows whose
+crc32(doc_id) is divisible by 5 are held out.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from chronoloom.llm.common import require, ship_by_value, slices, text_buffers
+from chronoloom.llm.common import fresh, quoted, require, ship_by_value, slices, text_buffers
 
 ship_by_value(__name__)
 
@@ -183,36 +185,47 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, **options) -> ByteGru:
-    """Trains on stretches of at most per_language rows of each language, chosen by the hash of their ids, lang null or empty left out."""
+    """Trains on stretches of at most per_language rows of each of the most_languages most frequent languages, lang null left out.
+
+    Rows without id or text are left out. Of rows with equal hashes the smaller id and text come first; repeated rows may both be taken.
+    Very long texts give the same four stretches as others. An empty table gives a model without languages.
+    """
     require(docs, ["doc_id", "text", "lang"])
     n = F.length("text")
     windows = F.array(*(F.substring("text", (n * k / WINDOWS + 1).cast("int"), F.lit(STRETCH)) for k in range(WINDOWS)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "windows")
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (n > 0))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    # four times as many as are needed pass by their hash
+    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, (4.0 * per_language + 100) / r.n))) for r in sizes)) if sizes else F.lit(0.0)
+    drawn = known.select("doc_id", "lang", windows.alias("windows"), F.xxhash64("doc_id", F.substring("text", 1, STRETCH)).alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "windows")
     rows = (
-        docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != "") & (n > 0))
-        .select("doc_id", "lang", windows.alias("windows"))
+        drawn.where(F.pmod("draw", F.lit(1 << 30)) < share * float(1 << 30))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_language)
         .select("lang", "windows")
-        .limit(per_language * most_languages + 1)
         .collect()
     )
-    if len(rows) > per_language * most_languages:
-        raise ValueError(f"more than {most_languages} languages")
     pairs = sorted((r.lang, w) for r in rows for w in r.windows if w)
     return train([w.encode() for _, w in pairs], [y for y, _ in pairs], **options)
 
 
-def predict(docs: DataFrame, model: ByteGru) -> DataFrame:
-    """Adds to every row of docs lang_pred and score, the share of the positions' probability that the language has.
+def predict(docs: DataFrame, model: ByteGru, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds to every row of docs its language and score, the share of the positions' probability that the language has.
 
-    A null text or one without letters gives ``und`` and 0, and so does a model without languages. All bytes of all texts are read.
+    A null text or one without letters gives ``und`` and 0, and so does a model without languages. All bytes of all texts are read. Of
+    languages with equal probability the first by name counts. Repeated rows each give a row, an empty table none. Columns named like
+    the new ones are replaced; others of any name and type stay.
     """
     require(docs, ["doc_id", "text"])
+    rest = [c for c in docs.columns if c.lower() not in (language.lower(), score.lower())]
+    # the task sees numbered names, for some that a table may have cannot be passed on
+    numbered = [f"c{k}" for k in range(len(rest))]
+    kept = docs.select(*(F.col(quoted(c)).alias(k) for c, k in zip(rest, numbered, strict=True)), F.col("text").cast("binary").alias("body"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column("__body"))
+            data, offsets = text_buffers(batch.column("body"))
             total = np.zeros((len(model.languages), len(offsets) - 1))
             for a, z in slices(offsets) if model.languages else ():
                 starts, lengths, row = stretches(data, offsets[a : z + 1])
@@ -222,17 +235,15 @@ def predict(docs: DataFrame, model: ByteGru) -> DataFrame:
                     for j in range(len(total)):
                         total[j, a:z] += np.bincount(row[k : k + WIDTH], sums[j], z - a)
             size = np.diff(offsets)
-            known = (size > 0) & batch.column("__letters").to_numpy(zero_copy_only=False) if model.languages else np.zeros(len(size), bool)
+            known = (size > 0) & batch.column("letters").to_numpy(zero_copy_only=False) if model.languages else np.zeros(len(size), bool)
             best = total.argmax(0) if model.languages else np.zeros(len(size), int)
-            score = np.where(known, total[best, np.arange(len(size))] / np.maximum(size, 1), 0.0) if model.languages else np.zeros(len(size))
+            share = np.where(known, total[best, np.arange(len(size))] / np.maximum(size, 1), 0.0) if model.languages else np.zeros(len(size))
             names = [model.languages[j] if ok else UNDETERMINED for j, ok in zip(best, known, strict=True)]
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if not n.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], [*(n for n, _ in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(names, pa.string()), pa.array(np.clip(share, 0, 1))], [*numbered, "language", "share"])
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*(docs[c] for c in rest), F.col("text").cast("binary").alias("__body"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    schema = StructType([StructField(f.name, f.dataType) for f in kept.schema if f.name in numbered]).add("language", StringType()).add("share", DoubleType())
+    found = kept.mapInArrow(run, schema)
+    return found.select(*(F.col(k).alias(c) for c, k in zip(rest, numbered, strict=True)), F.col("language").alias(language), F.col("share").alias(score))
 
 
 def digest(docs: DataFrame, model: ByteGru) -> DataFrame:
@@ -240,7 +251,7 @@ def digest(docs: DataFrame, model: ByteGru) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: ByteGru, least_score: float = 0.3) -> DataFrame:
-    """The rows of docs with a language: those predicted ``und``, or with a score below least_score, go."""
-    names = docs.columns
-    found = predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
-    return found.select(*names)
+    """The rows of docs with a language, all columns kept: those predicted ``und``, or with a score below least_score, go."""
+    language, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, model, language, score).where((F.col(language) != UNDETERMINED) & (F.col(score) >= least_score))
+    return found.select(*map(quoted, docs.columns))
