@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, 3-word fingerprints within two bits, the document with the smallest id stays."""
-    return simhash.representatives(docs)
+    """Of each group of near duplicates, five-word shingles 0.8 alike by fingerprints, the document with the smallest id stays."""
+    return simhash.representatives(docs, distance=simhash.ALIKE_DISTANCE, parts=simhash.ALIKE_PARTS, shingle=simhash.ALIKE_SHINGLE, alike=simhash.ALIKE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
