@@ -1,11 +1,13 @@
+import hashlib
 import json
 import random
+import urllib.error
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators import claims, models, retrieval, similarity, temporal
+from chronoloom.operators import claims, entities, graph, models, retrieval, similarity, store, temporal
 from chronoloom.plans import stages
 from chronoloom.sources import issues, rest, tables
 from chronoloom.streaming import ingest
@@ -40,32 +42,149 @@ def test_leaders_equal_a_scan(spark):
             assert got[i] == (i if lead is None else lead)
 
 
-def test_nested_issues_to_events(spark, tmp_path):
-    raw = [
-        {"number": 1, "title": "T", "state": "closed", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-03T00:00:00Z", "labels": [{"name": "bug"}], "assignees": [{"login": "ann"}],
-         "comments_data": [{"id": 5, "body": "x" * 501, "created_at": "2024-01-02T00:00:00Z"}, {"id": 5, "body": "again", "created_at": "2024-01-02T00:00:00Z"}], "timeline_events": [{"id": 9, "event": "assigned", "created_at": "2024-01-02T00:00:00Z"}, {"id": 10, "event": "starred"}]},
-        {"number": 2, "title": None, "user": {"login": "bob"}, "state": "open", "created_at": "2024-01-01T00:00:00Z", "pull_request": {"url": "u"}, "timeline_events": [{"id": 11, "event": "labeled", "actor": {"login": "cy"}, "label": {"name": "bug"}, "created_at": None}]},
-    ]
-    (tmp_path / "i.json").write_text(json.dumps(raw))
-    got = [(r.subject, r.event_type, r.actor, r.timestamp, r.char_offset_end, r.extra.synthetic) for r in issues.events(issues.read(spark, str(tmp_path / "i.json"))).orderBy("seq").collect()]
+def sid(*parts):
+    return hashlib.sha256("::".join(map(str, parts)).encode()).hexdigest()[:16]
+
+
+RAW = [
+    {"number": 1, "title": "T", "body": "b" * 2100, "html_url": "u1", "state": "closed", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-03T00:00:00Z", "labels": [{"name": "bug"}, {"name": "Old"}], "assignees": [{"login": "ann"}, {}], "pull_request": None,
+     "comments_data": [{"id": 5, "body": "x" * 501, "created_at": "2024-01-02T00:00:00Z", "html_url": "c5"}, {"id": 5, "body": "again", "created_at": "2024-01-02T00:00:00Z"}, {"id": 6, "user": {"login": "cy"}}],
+     "timeline_events": [{"id": 9, "event": "assigned", "created_at": "2024-01-02T00:00:00Z"}, {"id": 10, "event": "starred"}, {"event": "referenced", "created_at": "2024-01-02T00:00:00Z"}, {"event": "referenced", "created_at": "2024-01-05T00:00:00Z"}]},
+    {"number": 2, "title": None, "user": {"login": "bob"}, "state": "open", "created_at": "2024-01-01T00:00:00Z", "assignees": [{"login": "dee"}],
+     "timeline_events": [{"id": 11, "event": "labeled", "actor": {"login": "cy"}, "label": {"name": "bug"}, "created_at": None}, {"id": 12, "event": "unlabeled", "user": {"login": "eve"}, "label": {}, "created_at": "2024-01-02T00:00:00Z"},
+                         {"id": 13, "event": "assigned", "actor": {}, "user": {"login": "no"}, "assignee": {}, "created_at": "2024-01-02T00:00:01Z"}, {"id": 14, "event": "milestoned", "created_at": "2024-01-02T00:00:02Z"}]},
+    {"number": 3, "title": "P", "state": "open", "user": {"login": "bob"}, "created_at": "2024-01-04T00:00:00Z"},
+]
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_nested_issues_to_events(spark, tmp_path, lines):
+    (tmp_path / "i.json").write_text("\n".join(map(json.dumps, RAW)) if lines else json.dumps(RAW))
+    rows = issues.events(issues.read(spark, str(tmp_path / "i.json"), lines)).orderBy("seq").collect()
+    got = [(r.subject, r.event_type, r.actor, r.timestamp, r.source_id, r.evidence, r.char_offset_end) for r in rows]
+    first, second = "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"
     assert got == [
-        ("issue_2", "LabelAdded", "cy", None, 15, None),
-        ("issue_1", "IssueCreated", "unknown", "2024-01-01T00:00:00Z", 1, None),
-        ("issue_2", "IssueCreated", "bob", "2024-01-01T00:00:00Z", 0, None),
-        ("issue_1", "AssignedTo", "system", "2024-01-01T00:00:00Z", 23, True),
-        ("issue_1", "CommentAdded", "unknown", "2024-01-02T00:00:00Z", 500, None),
-        ("issue_1", "IssueClosed", "system", "2024-01-03T00:00:00Z", 14, True),
+        ("issue_1", "CommentAdded", "cy", None, sid("CommentAdded", "issue_1", 6), "", 0),
+        ("issue_2", "LabelAdded", "cy", None, sid("labeled", "issue_2", 11), "Label added: bug", None),
+        ("issue_1", "IssueCreated", "unknown", first, sid("IssueCreated", "issue_1"), "T", None),
+        ("issue_2", "IssueCreated", "bob", first, sid("IssueCreated", "issue_2"), "", None),
+        ("issue_1", "AssignedTo", "system", first, sid("AssignedTo", "issue_1", "ann", "synthetic"), "Assigned to ann (from snapshot)", None),
+        ("issue_1", "AssignedTo", "system", first, sid("AssignedTo", "issue_1", "unknown", "synthetic"), "Assigned to unknown (from snapshot)", None),
+        ("issue_1", "CommentAdded", "unknown", second, sid("CommentAdded", "issue_1", 5), "x" * 500, 500),
+        ("issue_1", "Referenced", "system", second, sid("referenced", "issue_1", ""), "Referenced in event ", None),
+        ("issue_2", "LabelRemoved", "eve", second, sid("unlabeled", "issue_2", 12), "Label removed: ", None),
+        ("issue_2", "AssignedTo", "system", "2024-01-02T00:00:01Z", sid("assigned", "issue_2", 13), "Assigned to unknown", None),
+        ("issue_2", "MilestoneSet", "system", "2024-01-02T00:00:02Z", sid("milestoned", "issue_2", 14), "Milestone set: ", None),
+        ("issue_1", "IssueClosed", "system", "2024-01-03T00:00:00Z", sid("IssueClosed", "issue_1", "synthetic"), "Issue state is 'closed' (synthesized from snapshot)", None),
+        ("issue_3", "IssueCreated", "bob", "2024-01-04T00:00:00Z", sid("IssueCreated", "issue_3"), "P", None),
     ]
+    made = {r.subject: r for r in rows if r.event_type == "IssueCreated"}
+    assert [made[f"issue_{k}"].extra.is_pull_request for k in (1, 2, 3)] == [True, False, False]
+    assert made["issue_1"].evidence_full == "b" * 2000 and made["issue_3"].evidence_full == "P" and made["issue_1"].extra.labels == ["bug", "Old"] and made["issue_2"].extra.labels == []
+    assert (made["issue_1"].source_url, made["issue_2"].source_url) == ("u1", "") and [r.char_offset_start for r in rows if r.event_type == "CommentAdded"] == [0, 0]
+
+
+def test_claims_and_entities_of_nested_issues(spark, tmp_path):
+    (tmp_path / "i.json").write_text(json.dumps(RAW))
+    stages.transform(spark, str(tmp_path / "i.json"), str(tmp_path))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    found = {(r.predicate, r.subject, r.object, r.confidence) for r in claims.event_claims(events).collect()}
+    assert {("is_pull_request", "issue_1", "true", 0.99), ("has_label", "issue_1", "bug", 0.95), ("has_label", "issue_1", "Old", 0.95), ("closed_by", "issue_1", "system", 0.85), ("externally_referenced", "issue_1", "system", 0.7)} <= found
+    kinds = {r.canonical_name: (r.entity_type, list(r.properties.labels)) for r in entities.labelled_issues(events).collect()}
+    assert kinds == {"issue_1": ("PullRequest", ["bug", "Old"]), "issue_2": ("Issue", []), "issue_3": ("Issue", [])}
+
+
+class Answer:
+    def __init__(self, body):
+        self.body = body
+
+    def __enter__(self):
+        return self
 
+    def __exit__(self, *_):
+        return None
 
-def test_fetch_waits_longer_after_each_failure():
-    waits = []
+    def read(self):
+        return self.body
+
+
+def test_load_waits_longer_after_each_failure_and_raises():
+    waits, tried = [], []
 
     def failing(*_, **__):
+        tried.append(1)
         raise OSError
 
-    assert rest.fetch("http://x", opener=failing, sleep=waits.append) is None
-    assert waits == [2.0, 4.0, 6.0]
+    with pytest.raises(rest.PageLost):
+        rest.load("http://x", open_url=failing, sleep=waits.append)
+    assert waits == [2.0, 4.0] and len(tried) == 3
+
+    def limited(*_, **__):
+        tried.append(1)
+        if len(tried) < 5:
+            raise urllib.error.HTTPError("u", 429, "", {"Retry-After": "7"}, None)
+        return Answer(b"[1]")
+
+    assert rest.load("http://x", open_url=limited, sleep=waits.append) == [1] and waits[2:] == [7.0]
+    now = rest.wait_after(urllib.error.HTTPError("u", 403, "", {"X-RateLimit-Reset": "130"}, None), 1, 2.0, 100.0)
+    assert now == 31.0 and rest.wait_after(urllib.error.HTTPError("u", 404, "", {}, None), 1, 2.0, 0.0) is None
+
+
+def test_pages_are_read_until_an_empty_one(spark):
+    pages = {f"http://x?page={n}": [{"n": n, "i": i} for i in range(2)] for n in (1, 2, 3)}
+    reader = rest.PagesReader({"url": "http://x?page={page}"}, lambda u: pages.get(u, []))
+    assert [(n, json.loads(i)["i"]) for p in reader.partitions() for n, i in reader.read(p)] == [(n, i) for n in (1, 2, 3) for i in (0, 1)]
+    two = rest.PagesReader({"url": "http://x?page={page}", "pages": "2"}, lambda u: pages.get(u, []))
+    assert len(two.partitions()) == 2 and sum(len(list(two.read(p))) for p in two.partitions()) == 4
+
+    def comments(url):
+        key, page = (int(x) for x in url.rsplit("/", 2)[1:])
+        return [{"of": key, "page": page}] if page <= key else []
+
+    keys = spark.createDataFrame([(0,), (1,), (3,), (3,), (None,)], "number long")
+    got = sorted((r.number, r.page, json.loads(r.item)["of"]) for r in rest.dependent(keys, "number", "http://x/{key}/{page}", comments).collect())
+    assert got == [(1, 1, 1), (3, 1, 3), (3, 2, 3), (3, 3, 3)]
+
+
+def test_store_loads_what_is_there_and_the_last_of_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "entity_id string, seq long, canonical_name string")
+    assert store.save({"entities": rows}, str(tmp_path)) == [f"{tmp_path}/entities"]
+    schemas = {"entities": "entity_id string, seq long, canonical_name string", "merge_log": "merge_id string"}
+    got = store.load(spark, str(tmp_path), schemas)
+    assert sorted((r.entity_id, r.canonical_name) for r in got["entities"].collect()) == [("a", "y"), ("b", "z")] and got["merge_log"].count() == 0
+    assert store.first_with_rows(rows.where("false"), rows).count() == 3
+
+
+def test_graph_drawing_and_tooltips(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "A<b>", "Issue", "#4A90D9"), ("b", "B", "Person", "#50C878")], "id string, label string, type string, color string")
+    edges = spark.createDataFrame([("a", "b", ["1", "2", "3", "4"], "active"), ("a", "z", ["x" * 400], None)], "from_id string, to_id string, evidence array<string>, status string")
+    assert sorted((r.title, r.color) for r in graph.tooltips(edges).collect()) == [("1\n2\n3", "#666"), ("x" * 300, "#999")]
+    graph.html(nodes, edges, str(tmp_path / "g.html"))
+    page = (tmp_path / "g.html").read_text()
+    assert page.count("<circle") == 2 and page.count("<line") == 1 and "A&lt;b&gt;" in page and "#50C878" in page
+
+
+def test_candidate_pairs_are_exact_and_mostly_found(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(150, 16))
+    rows = np.concatenate([rows, rows + rng.normal(size=rows.shape) * 0.25])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, vector array<double>")
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if rows[i] @ rows[j] >= 0.85}
+    got = {(r.a, r.b) for r in similarity.bucket_pairs(df, 0.85).collect()}
+    assert got <= want and len(got) > 0.95 * len(want) > 100
+
+
+def test_near_comments_keep_the_earlier(spark):
+    rows = [("issue_1", 1, "s1", "please merge the fix for the parser"), ("issue_1", 2, "s2", "Please merge the fix for the parser!"), ("issue_2", 3, "s3", "please merge the fix for the parser"), ("issue_1", 4, "s4", "something else entirely")]
+    kept, log = similarity.near_comments(spark.createDataFrame(rows, "subject string, seq long, source_id string, body string"), models.embedded)
+    assert sorted(r.source_id for r in kept.collect()) == ["s1", "s3", "s4"] and [(r.target_id, r.merged_ids, r.merge_type) for r in log.collect()] == [("s1", "s2", "artifact")]
+
+
+def test_conflicts_are_found_by_subject_too(spark):
+    found = spark.createDataFrame([(1, "issue_1")], "qid int, name string")
+    rows = spark.createDataFrame([("Issue_1", "issue_1", "a", "low"), (None, "ISSUE_1", "b", "low"), ("issue_2", None, "c", "low")], "issue_id string, subject string, conflict_type string, severity string")
+    assert [r.conflict_type for r in retrieval.conflicts_of(found, rows).orderBy("place").collect()] == ["a", "b"]
 
 
 def test_ingest_twice_keeps_each_event_once(spark, tmp_path):
