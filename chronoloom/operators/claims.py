@@ -14,7 +14,7 @@ from chronoloom.sources.tables import first_of
 DECISIONS = ("approved", "merged", "rejected", "wontfix", "resolved", "duplicate", "confirmed", "accepted")
 SIGNALS = ("decision", "decided", "agreed", "approved", "rejected", "blocked", "duplicate", "depends", "fixes", "closes")
 TYPES = ("StatusChange", "Assignment", "Reference", "Decision", "LabelAction", "DependsOn", "Duplicates", "Blocks", "Fixes", "Performance", "OwnershipChange", "Generic")
-#: Types that a model's claim can have; others become Generic.
+#: Types that a model's claim can have; others become Generic.
 EXTRACTED = ("Reference", "DependsOn", "Duplicates", "Blocks", "Fixes", "Decision", "Assignment", "StatusChange", "Performance", "Generic")
 
 
@@ -24,8 +24,12 @@ def claim(kind: str, predicate: str | Column, obj: Column, value: Column, confid
     return F.struct(F.lit(kind).alias("claim_type"), predicate.alias("predicate"), obj.cast("string").alias("object"), value.cast("string").alias("value"), confidence.alias("confidence"), excerpt.alias("excerpt"))
 
 
+#: Of the claims that rules make.
+RULES = {"model": "rule-engine", "schema_version": "1.0", "prompt_hash": "rule-based"}
+
+
 def _finished(rows: DataFrame) -> DataFrame:
-    """seq, subject, source_id, ts, c (a claim): adds identifiers; of equal identifiers the first stays."""
+    """seq, subject, source_id, ts, c (a claim), and source_url if there: adds identifiers; of equal identifiers the first stays."""
     out = rows.select(
         stable_id(12, F.col("c.claim_type"), F.col("subject"), F.col("c.predicate"), F.col("c.object"), F.col("c.value"), F.col("source_id")).alias("claim_id"),
         "c.claim_type", "subject", "c.predicate", "c.object", "c.value", "c.confidence", F.substring("c.excerpt", 1, 500).alias("excerpt"), "source_id", F.lit("active").alias("status"),
@@ -35,21 +39,52 @@ def _finished(rows: DataFrame) -> DataFrame:
     return first_of(out, ["claim_id"])
 
 
+def with_evidence(claims: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """claims with evidence (an array of one excerpt, its source, url, time and offsets), source_ids, support_count and extraction_meta.
+
+    urls (source_id, source_url): where sources stand; a source that stands in it twice gives one url.
+    """
+    known = claims
+    if urls is None:
+        known = claims.withColumn("source_url", F.lit(""))
+    else:
+        known = claims.join(urls.groupBy("source_id").agg(F.min("source_url").alias("source_url")), "source_id", "left")
+    meta = F.struct(*(F.lit(v).alias(k) for k, v in RULES.items()), F.col("confidence"), F.current_timestamp().alias("extracted_at"))
+    item = F.struct("excerpt", "source_id", F.coalesce("source_url", F.lit("")).alias("source_url"), F.col("created_at").alias("timestamp"), F.lit(0).alias("char_offset_start"), F.least(F.length("excerpt"), F.lit(500)).alias("char_offset_end"))
+    return known.select(*claims.columns, F.array(item).alias("evidence"), F.array("source_id").alias("source_ids"), F.lit(1).alias("support_count"), meta.alias("extraction_meta"))
+
+
+def in_time_order(claims: DataFrame) -> DataFrame:
+    """Claims by their time, those without one first, and by seq where times are equal."""
+    return claims.orderBy(F.coalesce("created_at", F.lit("")), "seq", "claim_id")
+
+
 def event_claims(events: DataFrame) -> DataFrame:
-    """Claims of status, assignment and label events: a fan-out inside each row, without joins."""
+    """Claims of status, assignment, label, pull request and reference events: a fan-out inside each row, without joins.
+
+    Of the columns that only nested sources fill, labels (of a created issue), is_pull_request and synthetic, those that are there count.
+    """
     kind, actor, none = F.col("event_type"), F.col("actor"), F.lit(None).cast("string")
+    has = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in events.columns else F.lit(False)
     label, assignee = F.col("label"), F.coalesce("assignee", "actor")
     said = lambda verb, who: F.concat_ws(" ", F.col("subject"), F.lit(verb), who)
+    sure = F.when(has("synthetic"), 0.85).otherwise(0.95)
     rules = F.array(
         F.when(kind == "IssueCreated", claim("StatusChange", "created_by", actor, F.lit("open"), 0.95, said("created by", actor))),
-        F.when(kind == "IssueClosed", claim("StatusChange", "closed_by", actor, F.lit("closed"), 0.95, said("closed by", actor))),
+        F.when((kind == "IssueCreated") & has("is_pull_request"), claim("Reference", "is_pull_request", F.lit("true"), F.lit("PR"), 0.99, F.concat(F.col("subject"), F.lit(" is a pull request")))),
+        F.when(kind == "IssueClosed", claim("StatusChange", "closed_by", actor, F.lit("closed"), sure, said("closed by", actor))),
         F.when(kind == "IssueReopened", claim("StatusChange", "reopened_by", actor, F.lit("open"), 0.95, said("reopened by", actor))),
         F.when(kind == "AssignedTo", claim("Assignment", "assigned_to", assignee, none, 0.90, said("assigned to", assignee))),
         F.when(kind == "Unassigned", claim("OwnershipChange", "unassigned", assignee, none, 0.90, said("unassigned from", assignee))),
         F.when(kind == "LabelAdded", claim("Reference", "labeled", label, none, 0.95, said("labeled", label))),
         F.when(kind == "LabelRemoved", claim("Reference", "label_removed", label, none, 0.95, said("label removed", label))),
+        F.when(kind == "Referenced", claim("Reference", "externally_referenced", actor, none, 0.70, said("referenced by", actor))),
     )
-    return _finished(events.select("seq", "subject", "source_id", "ts", F.explode(F.array_compact(rules)).alias("c")))
+    found = F.array_compact(rules)
+    if "labels" in events.columns:
+        held = F.when(kind == "IssueCreated", F.transform("labels", lambda x: claim("Reference", "has_label", x, none, 0.95, F.concat(F.col("subject"), F.lit(" labeled '"), x, F.lit("' at creation")))))
+        found = F.concat(found, F.coalesce(held, F.filter(found, lambda _: F.lit(False))))
+    return _finished(events.select("seq", "subject", "source_id", "ts", F.explode(found).alias("c")))
 
 
 def comment_claims(comments: DataFrame) -> DataFrame:
@@ -85,6 +120,17 @@ def signal_comments(comments: DataFrame, words: tuple[str, ...] = SIGNALS) -> Da
     return comments.where((F.length(stripped(F.col("body"))) >= 20) & (F.col("body").contains("#") | low.contains("issue") | any_of([low.contains(w) for w in words])))
 
 
+def run_totals(comments: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: comments processed and skipped, claims that a model gave, and unique ones that stayed."""
+    one = lambda df, *c: df.agg(*c)
+    picked = signal_comments(comments).select("seq").withColumn("__hit", F.lit(1))
+    counts = one(comments.select("seq").join(picked, "seq", "left"), F.count("__hit").alias("processed"), F.count_if(F.col("__hit").isNull()).alias("skipped"))
+    parts = [one(raw, F.count("*").alias("raw_claims")), one(kept, F.count("*").alias("unique_claims"))]
+    for part in parts:
+        counts = counts.join(F.broadcast(part), F.lit(True))  # one row each
+    return counts
+
+
 FIELDS = "array<struct<claim_type: string, subject: string, object: string, predicate: string, value: string, confidence: string, excerpt: string>>"
 PROMPT = (
     "List the relations that this comment on an issue states, as a JSON array and nothing else; [] if there are none. Each has the fields claim_type ("

@@ -62,10 +62,22 @@ def out_of_order(events: DataFrame, arrival: str = "seq") -> DataFrame:
     return events.withColumn("before", before).where("ts < before").select(F.lit("temporal_anomaly").alias("conflict_type"), F.lit("low").alias("severity"), F.col("subject").alias("issue_id"), "source_id", "before", "ts")
 
 
+def detected(events: DataFrame, intervals: DataFrame, claims: DataFrame, snapshot_closed: DataFrame, flap_seconds: float = 60.0, minutes: float = 10.0, arrival: str = "seq") -> list[DataFrame]:
+    """The findings of all seven detectors, each with its own columns."""
+    return [consistency(events, snapshot_closed), irregularity(intervals, flap_seconds), rapid_closure(events, minutes), duplicate_labels(events), contradictions(claims), ownership(events), out_of_order(events, arrival)]
+
+
+def report(conflicts: list[DataFrame]) -> DataFrame:
+    """All findings in one table, columns that a detector has not null."""
+    out = conflicts[0]
+    for c in conflicts[1:]:
+        out = out.unionByName(c, allowMissingColumns=True)
+    return out
+
+
 def rollup(conflicts: list[DataFrame]) -> DataFrame:
     """Counts by severity and by type, and the total, in one pass."""
     every = conflicts[0].select("conflict_type", "severity")
     for c in conflicts[1:]:
         every = every.unionByName(c.select("conflict_type", "severity"))
-
     return every.groupingSets([["severity"], ["conflict_type"], []], "severity", "conflict_type").agg(F.count("*").alias("n")).select(F.coalesce("severity", F.lit("*")).alias("severity"), F.coalesce("conflict_type", F.lit("*")).alias("conflict_type"), "n")

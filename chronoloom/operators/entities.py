@@ -41,8 +41,35 @@ def all_entities(events: DataFrame) -> DataFrame:
     return persons(events).unionByName(issues(events)).unionByName(labels(events))
 
 
+def labelled_issues(events: DataFrame) -> DataFrame:
+    """Issues and pull requests (a subject any of whose events says so) as entities, with their labels: those of the last event that has
+    some. events has labels (an array) and is_pull_request besides."""
+    some = F.when(F.size("labels") > 0, F.col("seq"))
+    facts = events.where(F.col("subject").startswith("issue_")).groupBy(F.col("subject").alias("canonical_name")).agg(F.max_by("labels", some).alias("held"), F.bool_or(F.coalesce("is_pull_request", F.lit(False))).alias("pull"))
+    kind = F.when(F.col("pull"), "PullRequest").otherwise("Issue")
+    out = issues(events).drop("entity_id", "entity_type").join(facts, "canonical_name")
+    return out.select(stable_id(12, kind, F.col("canonical_name")).alias("entity_id"), kind.alias("entity_type"), *COLUMNS[2:], F.struct(F.coalesce("held", F.array().cast("array<string>")).alias("labels")).alias("properties"))
+
+
+def merged_persons(entities: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Persons joined into their leaders (members: id, leader, sim of greedy clusters): the entities that stay, with the aliases of all and
+    the times of the leader, and the alias map that leads every name there. Entities of other kinds stay as they are."""
+    led = entities.join(members.select(F.col("id").alias("entity_id"), "leader"), "entity_id", "left").withColumn("leader", F.coalesce("leader", "entity_id"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("aliases", ","), lambda a: a != "")))))
+    every = led.groupBy("leader").agg(F.array_join(names, ",").alias("__aliases"), F.sum("n_sources").alias("__n"))
+    kept = entities.join(every.withColumnRenamed("leader", "entity_id"), "entity_id").select(*(F.col("__aliases").alias(c) if c == "aliases" else F.col("__n").alias(c) if c == "n_sources" else F.col(c) for c in entities.columns))
+    return kept, alias_map(led.withColumn("entity_id", F.col("leader")))
+
+
+def find(entities: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame:
+    """names (name): adds entity_id by the alias map, else by an entity's own name, else null. Two equi-joins on the lower-cased name."""
+    own = entities.groupBy(F.lower("canonical_name").alias("__low")).agg(F.min("entity_id").alias("__own"))
+    asked = names.withColumn("__low", F.lower("name")).join(aliases.select(F.col("alias").alias("__low"), F.col("entity_id").alias("__alias")), "__low", "left").join(own, "__low", "left")
+    return asked.withColumn("entity_id", F.coalesce("__alias", "__own")).drop("__low", "__alias", "__own")
+
+
 #: Later kinds overwrite earlier ones in the alias map.
-RANK = {"Person": 0, "Issue": 1, "Label": 2}
+RANK = {"Person": 0, "Issue": 1, "PullRequest": 1, "Label": 2}
 
 
 def alias_map(entities: DataFrame) -> DataFrame:

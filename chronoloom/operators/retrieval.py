@@ -12,6 +12,11 @@ ENTITIES, CLAIMS, EVIDENCE, CITATIONS, CONFLICTS, MENTIONED = 10, 15, 30, 20, 5,
 SIMILAR_ENTITIES, SIMILAR_CLAIMS, SIMILAR = 5, 10, 0.3
 
 
+def few(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Hints a broadcast of a table made from questions if its counted rows are within the limit."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def question_words(questions: DataFrame) -> DataFrame:
     """questions (qid, question): qid, words, refs."""
     return questions.select("qid", keywords(F.col("question")).alias("words"), issue_references(F.col("question")).alias("refs"))
@@ -38,7 +43,7 @@ def resolve(words: DataFrame, entities: DataFrame, similar: DataFrame | None = N
     scored = joined.select("qid", "entity_id", "name", "names", F.when(F.array_contains("refs", F.col("name")), 1.0).otherwise(0.8).alias("score"))
     if similar is not None:
         new = similar.select("qid", F.col("id").alias("entity_id"), F.col("sim").alias("score")).join(scored, ["qid", "entity_id"], "left_anti")
-        scored = scored.unionByName(named.join(F.broadcast(new), "entity_id"))
+        scored = scored.unionByName(named.join(few(new), "entity_id"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "entity_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("qid", "entity_id", "name", "names", "score", "place")
 
@@ -54,12 +59,14 @@ def score_claims(words: DataFrame, resolved: DataFrame, claims: DataFrame, simil
     text, evidence = F.lower(F.concat_ws(" ", "predicate", F.coalesce("value", F.lit("None")))), F.lower(F.coalesce("excerpt", F.lit("")))
     hits = lambda c: F.size(F.filter("words", lambda w: F.contains(c, w)))
     ends = F.array(F.lower("subject"), F.lower(F.coalesce("object", F.lit(""))))
-    said = claims.join(F.broadcast(asked), F.lit(True))
+    # the questions, a stated set, stand as one array beside each claim: all pairs are scored where the claim lies
+    every = few(asked.agg(F.collect_list(F.struct("qid", "words", "known")).alias("asked")))
+    said = claims.join(every, F.lit(True)).select("*", F.explode("asked").alias("one")).select(*claims.columns, "one.*")
     scored = said.withColumn("in_text", hits(text)).withColumn("in_evidence", hits(evidence)).withColumn("n", F.size(F.filter("known", lambda names: F.arrays_overlap(names, ends))))
     score = 0.7 * F.col("n") + 0.3 * F.col("in_text") + 0.2 * F.col("in_evidence") + 0.2 * F.col("confidence")
     scored = scored.withColumn("score", F.round(score, 6))
     if similar is not None:
-        scored = scored.join(F.broadcast(similar.select("qid", F.col("id").alias("claim_id"), "sim")), ["qid", "claim_id"], "left")
+        scored = scored.join(few(similar.select("qid", F.col("id").alias("claim_id"), "sim")), ["qid", "claim_id"], "left")
         scored = scored.withColumn("score", F.round(F.when(F.col("score") > 0.2, F.col("score") + 0.5 * F.coalesce("sim", F.lit(0.0))).otherwise(0.8 * F.col("sim")), 6)).where("score is not null")
     else:
         scored = scored.where("score > 0.2")
@@ -72,7 +79,7 @@ def evidence(top: DataFrame, events: DataFrame, resolved: DataFrame, most: int =
     """qid, source_id, from_claim, issue_id, excerpt, kind, place: the claims' own evidence (kind 0), once per source and beginning of the
     excerpt, then events of the resolved issues (kind 1), once per source."""
     own = top.where(F.coalesce("excerpt", F.lit("")) != "").select("qid", "source_id", F.col("claim_id").alias("from_claim"), F.lower("subject").alias("issue_id"), "excerpt", F.lit(0).alias("kind"), F.col("place").cast("long").alias("at"))
-    names = F.broadcast(resolved.select("qid", F.col("name").alias("issue_id")).distinct())
+    names = few(resolved.select("qid", F.col("name").alias("issue_id")).distinct())
     other = events.select("source_id", F.lower("subject").alias("issue_id"), F.col("seq").alias("at")).join(names, "issue_id")
     other = other.select("qid", "source_id", F.lit(None).cast("string").alias("from_claim"), "issue_id", F.lit("").alias("excerpt"), F.lit(1).alias("kind"), "at")
     every = own.unionByName(other)
@@ -106,9 +113,12 @@ def citations(top: DataFrame, found: DataFrame, most_items: int = 10, most: int
 
 
 def conflicts_of(resolved: DataFrame, conflicts: DataFrame, most: int = CONFLICTS) -> DataFrame:
-    """qid, issue_id, conflict_type, severity, place: conflicts of the resolved entities, by type and issue."""
-    names = F.broadcast(resolved.select("qid", F.col("name").alias("low")).distinct())
-    met = conflicts.select("issue_id", "conflict_type", "severity", F.lower("issue_id").alias("low")).join(names, "low")
+    """qid, issue_id, conflict_type, severity, place: conflicts of the resolved entities by issue_id, or by subject where conflicts have
+    that column, each once, by type and issue."""
+    names = few(resolved.select("qid", F.col("name").alias("low")).distinct())
+    keys = [F.lower("issue_id"), *([F.lower("subject")] if "subject" in conflicts.columns else [])]
+    ends = conflicts.select("issue_id", "conflict_type", "severity", F.monotonically_increasing_id().alias("n"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("low"))
+    met = ends.join(names, "low").dropDuplicates(["qid", "n"])
     order = Window.partitionBy("qid").orderBy("conflict_type", "issue_id", "severity")
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("qid", "issue_id", "conflict_type", "severity", "place")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from chronoloom.functions.scalar import dot, stable_id
+from chronoloom.sources.tables import settled
 
 
 def pairs(vectors: DataFrame, threshold: float, block: str | None = "block") -> DataFrame:
@@ -18,6 +23,75 @@ def pairs(vectors: DataFrame, threshold: float, block: str | None = "block") ->
     return joined.where("a < b").withColumn("sim", dot(F.col("u"), F.col("v"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
 
 
+def bucket_pairs(vectors: DataFrame, threshold: float, planes: int = 8, tables: int = 16, seed: int = 5) -> DataFrame:
+    """a, b, sim of unit vectors (id, vector) of any block, a < b, similarity of threshold or more: only rows that lie on the same side of
+    all planes of some table are compared, so a pair may be missed, and every pair given is exact.
+
+    With cosine s the sides of one plane agree with probability 1 - acos(s) / pi; planes and tables set the share of pairs found.
+    """
+    first = vectors.select(F.size("vector").alias("n")).first()
+    width = first.n if first else 1
+    drawn = np.random.default_rng(seed).normal(size=(tables, planes, width))
+
+    @F.pandas_udf("array<long>")
+    def keys(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        side = np.einsum("tpw,rw->rtp", drawn, np.array(rows.tolist(), np.float64)) > 0
+        return pd.Series(list((side * (1 << np.arange(planes))).sum(2) + (np.arange(tables) << planes)))
+
+    entries = vectors.select("id", F.explode(keys("vector")).alias("cell"))
+    met = entries.select(F.col("id").alias("a"), "cell").join(entries.select(F.col("id").alias("b"), "cell"), "cell").where("a < b").select("a", "b").distinct()
+    left, right = vectors.select(F.col("id").alias("a"), F.col("vector").alias("u")), vectors.select(F.col("id").alias("b"), F.col("vector").alias("v"))
+    return met.join(left, "a").join(right, "b").withColumn("sim", dot(F.col("u"), F.col("v"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
+
+
+def leaders_of(rows: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """Greedy leader clusters of rows (id) in the order of ids, from pairs (a, b, sim) of similar rows with a < b: id, leader, sim.
+
+    In rounds: a row without an earlier row that is still undecided leads, if none of its earlier similar rows leads, else it follows the
+    first that does. Every round decides at least the first undecided row of each component; no block meets in one task.
+    """
+    decided = None
+    todo, links = settled(rows.select("id")), settled(pairs)
+    for _ in range(most_rounds):
+        open_ = links.join(todo.withColumnRenamed("id", "b"), "b", "left_semi")
+        waits = open_.join(todo.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        ready = todo.join(waits, "id", "left_anti")
+        if decided is None:
+            now = ready.select("id", F.col("id").alias("leader"), F.lit(1.0).alias("sim"))
+        else:
+            heads = decided.where("id = leader").select(F.col("id").alias("a"))
+            led = links.join(heads, "a", "left_semi").groupBy("b").agg(F.min(F.struct("a", "sim")).alias("first"))
+            now = ready.join(led, ready["id"] == led["b"], "left").select("id", F.coalesce("first.a", "id").alias("leader"), F.coalesce("first.sim", F.lit(1.0)).alias("sim"))
+        decided = settled(now if decided is None else decided.unionByName(now))
+        todo = settled(todo.join(decided, "id", "left_anti"))
+        if todo.isEmpty():
+            return decided
+    raise ValueError(f"chains of similar rows are longer than {most_rounds}")
+
+
+def near_comments(comments: DataFrame, embedded: Callable[[Column], Column], threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """Comments (subject, seq, source_id, body) without those that are much like an earlier one of their subject, and the log of merges."""
+    vectors = comments.select(F.col("source_id").alias("id"), "seq", F.col("subject").alias("block"), embedded(F.col("body")).alias("vector"))
+    members = leaders(vectors, threshold)
+    return comments.join(members.where("id = leader").select(F.col("id").alias("source_id")), "source_id", "left_semi"), merge_log(members, "artifact")
+
+
+def canonical_claims(claims: DataFrame, members: DataFrame) -> DataFrame:
+    """claims (claim_id, …, confidence, excerpt, source_id, seq) merged by their clusters (members: id, leader, sim): the leader's own
+    words, the highest confidence, the evidence of all in order, all sources, their number, and the mean similarity to the leader."""
+    joined = claims.join(members.select(F.col("id").alias("claim_id"), "leader", "sim"), "claim_id")
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("excerpt", F.lit("")) != "", F.struct("seq", "claim_id", F.struct("source_id", F.col("subject").alias("issue_id"), "excerpt", F.col("created_at").alias("timestamp")).alias("e"))))), lambda x: x["e"])
+    sums = joined.groupBy("leader").agg(
+        F.bround(F.max("confidence"), 3).alias("confidence"), said.alias("evidence"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), F.count("*").alias("support_count"),
+        F.avg(F.when(F.col("claim_id") != F.col("leader"), F.col("sim"))).alias("similarity"),
+    )
+    own = claims.select(F.col("claim_id").alias("leader"), "claim_type", "subject", "predicate", "object", "value")
+    named = stable_id(12, F.col("claim_type"), F.col("subject"), F.col("predicate"), null="None")
+    return own.join(sums, "leader").select(named.alias("claim_id"), F.col("leader").alias("first_claim_id"), "claim_type", "subject", "predicate", "object", "value", "confidence", "evidence", "source_ids", "support_count", "similarity", F.lit("active").alias("status"))
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, above: float | None = None) -> DataFrame:
     """The k rows nearest to a vector, ties by id, then those above a similarity."""
     asked = F.array(*(F.lit(float(x)) for x in query))
@@ -25,13 +99,43 @@ def nearest(vectors: DataFrame, query: list[float], k: int, above: float | None
     return out.where(F.col("sim") > above) if above is not None else out
 
 
+#: Queries that are compared with all rows at a time.
+QUERY_BLOCK = 1000
+
+
+def blocks_of(rows: Iterator, size: int) -> Iterator[list]:
+    while part := list(itertools.islice(rows, size)):
+        yield part
+
+
 def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, above: float | None = None) -> DataFrame:
     """qid, id, sim, place: the k rows nearest to each query (qid, vector), ties by id, then those above a similarity.
 
-    Queries are a stated, small set and broadcast. Each task keeps its k best rows of a query before the shuffle.
+    A stated set of queries is compared with all rows, in blocks of ``QUERY_BLOCK``: a block's vectors are one small array that goes to the tasks
+    with the plan, each task multiplies its rows with it and hands on its k best of each query. The last places are decided by exact sums.
     """
-    asked = F.broadcast(queries.select("qid", F.col("vector").alias("q")))
-    met = vectors.select("id", "vector").join(asked, F.lit(True)).select("qid", "id", dot(F.col("vector"), F.col("q")).alias("sim"))
+    kind, qkind = vectors.schema["id"].dataType, queries.schema["qid"].dataType
+    schema = StructType().add("qid", qkind).add("id", kind).add("vector", ArrayType(DoubleType())).add("q", ArrayType(DoubleType()))
+    found = None
+    for asked in blocks_of(queries.select("qid", "vector").orderBy("qid").toLocalIterator(), QUERY_BLOCK):
+        qids, q = [r.qid for r in asked], np.array([r.vector for r in asked], np.float64)
+
+        def best(frames: Iterator[pd.DataFrame], qids=qids, q=q) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                rows = np.array(frame.vector.tolist(), np.float64)
+                sims = q @ rows.T
+                # all that could be among the k best, ties and rounding included
+                least = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(frame) > k else np.full((len(qids), 1), -np.inf)
+                at, hit = np.nonzero(sims >= least - 1e-9)
+                yield pd.DataFrame({"qid": [qids[a] for a in at], "id": frame.id.to_numpy()[hit], "vector": list(rows[hit]), "q": list(q[at])})
+
+        part = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(best, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
+    met = found.select("qid", "id", dot(F.col("vector"), F.col("q")).alias("sim"))
     top = met.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= k)
     return top.where(F.col("sim") > above) if above is not None else top
 
@@ -74,4 +178,12 @@ def merge_log(members: DataFrame, kind: str) -> DataFrame:
     """One row per cluster of several: merge_id follows from kind, members and target, so a second run logs the same."""
     others = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("leader"), F.col("id")))), lambda x: x.cast("string")), ",")
     out = members.groupBy("leader").agg(others.alias("merged_ids"), F.count("*").alias("size")).where("size > 1")
-    return out.select(stable_id(12, F.lit(kind), F.col("merged_ids"), F.col("leader")).alias("merge_id"), F.lit(kind).alias("merge_type"), F.col("leader").alias("target_id"), "merged_ids", F.concat(F.lit("cluster of "), F.col("size")).alias("reason"), F.lit("active").alias("status"))
+    sims = members.where("id <> leader").groupBy("leader").agg(F.avg("sim").alias("similarity"))
+    out = out.join(sims, "leader", "left")
+    return out.select(F.bround("similarity", 6).alias("similarity"), stable_id(12, F.lit(kind), F.col("merged_ids"), F.col("leader")).alias("merge_id"), F.lit(kind).alias("merge_type"), F.col("leader").alias("target_id"), "merged_ids", F.concat(F.lit("cluster of "), F.col("size")).alias("reason"), F.lit("active").alias("status"))
+
+
+def with_snapshots(log: DataFrame, members: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds snapshot, the rows that each merge changed (of the members other than the leader, and the leader), as JSON in the order of ids."""
+    was = members.join(rows, members["id"] == rows[key]).groupBy("leader").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("id", F.struct(*(rows[c] for c in rows.columns)).alias("row")))), lambda x: x["row"])).alias("snapshot"))
+    return log.join(was, log["target_id"] == was["leader"], "left").select(*log.columns, "snapshot")

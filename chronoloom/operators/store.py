@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.sources.tables import keyed, optional
+
 
 def upsert(current: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """current with the rows of new in place of those with the same key; of several new rows the last in order counts."""
@@ -24,6 +26,57 @@ def supersede(claims: DataFrame, replaced: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status")))
 
 
+def superseded(claims: DataFrame, replaced: DataFrame, new: DataFrame) -> DataFrame:
+    """The same, with the new claims (the columns of claims) in the table, in place of those with their ids."""
+    return upsert(supersede(claims, replaced), new.withColumn("superseded_by", F.lit(None).cast("string")), "claim_id")
+
+
+def upsert_entities(entities: DataFrame, aliases: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities with the new ones in place of those with their ids, and the alias map with the new ones' names leading to them."""
+    names = F.array_union(F.filter(F.split(F.coalesce("aliases", F.lit("")), ","), lambda a: a != ""), F.array("canonical_name"))
+    own = new.select(F.explode(names).alias("name"), "entity_id").groupBy(F.lower("name").alias("alias")).agg(F.max("entity_id").alias("entity_id"))
+    return upsert(entities, new, "entity_id"), upsert(aliases, own, "alias")
+
+
+#: The tables of a store, and the key under which the last of several rows counts.
+ARTIFACTS = {"entities": "entity_id", "canonical_claims": "claim_id", "events": None, "merge_log": "merge_id", "aliases": "alias", "states": None, "conflicts": None, "edges": None}
+
+
+def load(spark: SparkSession, folder: str, schemas: dict[str, str], order: str = "seq") -> dict[str, DataFrame]:
+    """The store's tables by name; one that is missing is empty, with its schema. Of rows with one key the last in order counts."""
+    out = {}
+    for name, key in ARTIFACTS.items():
+        if name in schemas:
+            df = optional(spark, f"{folder}/{name}", schemas[name])
+            out[name] = keyed(df, key, order) if key and order in df.columns else df
+    return out
+
+
+def save(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """Writes tables into a new folder beside the old, so that a table can be written that is read from the old one; gives the paths."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return [f"{folder}/{name}" for name in tables]
+
+
+def first_with_rows(*tables: DataFrame) -> DataFrame:
+    """The first table that has rows, or the last: canonical claims, and claims where there are none yet."""
+    for df in tables[:-1]:
+        if not df.isEmpty():
+            return df
+    return tables[-1]
+
+
+def paged(df: DataFrame, order: str, offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """A page and, in one row, the total of the rows it is from."""
+    return page(df, order, offset, limit), df.agg(F.count("*").alias("total"))
+
+
+def most_common(df: DataFrame, *columns: str) -> DataFrame:
+    """Values and their counts, the most frequent first, equals by value."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
+
+
 def reverse_merges(log: DataFrame, current: DataFrame, snapshots: DataFrame, reversed_ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Undoes active merges (merge_id in reversed_ids): the log marked, and current with the snapshots' rows (merge_id, row columns) back."""
     asked = reversed_ids.select("merge_id").distinct().withColumn("__asked", F.lit(True))
@@ -49,10 +102,12 @@ def listed(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
-def search_claims(claims: DataFrame, text: str) -> DataFrame:
+def search_claims(claims: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Claims with the text in their own words or their evidence; with a limit the first in the order of seq."""
     low = F.lit(text.lower())
     own: Column = F.lower(F.concat_ws(" ", "subject", "predicate", "object", "value"))
-    return claims.where(own.contains(low) | F.lower("excerpt").contains(low))
+    out = claims.where(own.contains(low) | F.lower("excerpt").contains(low))
+    return out.orderBy("seq", "claim_id").limit(limit) if limit else out
 
 
 def claims_of(claims: DataFrame, names: DataFrame) -> DataFrame:
