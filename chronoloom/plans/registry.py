@@ -17,7 +17,7 @@ from chronoloom.operators import retrieval as R
 from chronoloom.operators import similarity as S
 from chronoloom.operators import store as K
 from chronoloom.operators import temporal as T
-from chronoloom.sources.tables import canonical_events, comments, first_of, settled, table
+from chronoloom.sources.tables import ISO, canonical_events, comments, first_of, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,14 +141,20 @@ def events_page(spark, d):
 # ---- conflicts
 
 
-def snapshot_closed(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("v")).where("user_id % 3 = 0").select(F.concat(F.lit("issue_"), F.col("user_id")).alias("issue_id"))
+def order_events(spark, d):
+    """Orders as issues: each is created once, and closed by every line that came back."""
+    stamp = lambda c: F.date_format(c, ISO)
+    name = lambda c: F.concat(F.lit("issue_"), F.col(c))
+    created = table(spark, d, "orders").select((F.col("o_orderkey") * 10).alias("seq"), name("o_orderkey").alias("subject"), stamp("o_orderdate").alias("ts"), F.lit("IssueCreated").alias("event_type"))
+    closed = table(spark, d, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), name("l_orderkey").alias("subject"), stamp("l_shipdate").alias("ts"), F.lit("IssueClosed").alias("event_type"))
+    return created.unionByName(closed)
 
 
-@query(f"""WITH {CE} SELECT 'state_consistency_gap' AS conflict_type, 'medium' AS severity, subject AS issue_id, arg_max(ts, seq) AS created_at FROM ce WHERE event_type = 'IssueCreated'
-AND CAST(substr(subject, 7) AS INT) % 3 = 0 AND seq < 400 AND subject NOT IN (SELECT subject FROM ce WHERE event_type = 'IssueClosed' AND seq < 400) GROUP BY subject""")
+@query("""SELECT 'state_consistency_gap' AS conflict_type, 'medium' AS severity, 'issue_' || o_orderkey AS issue_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at
+FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def conflict_consistency(spark, d):
-    return X.consistency(ce(spark, d).where("seq < 400"), snapshot_closed(spark, d))
+    snapshot = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("issue_"), F.col("o_orderkey")).alias("issue_id"))
+    return X.consistency(order_events(spark, d), snapshot)
 
 
 _IRR = STATE + """, g AS (SELECT *, lag(state) OVER w AS was, (epoch_us(CAST(valid_from AS TIMESTAMP)) - epoch_us(CAST(lag(valid_from) OVER w AS TIMESTAMP))) / 1e6 AS gap FROM st WINDOW w AS (PARTITION BY issue_id ORDER BY valid_from, seq)),
@@ -204,15 +210,30 @@ def conflict_out_of_order_arrival(spark, d):
     return X.out_of_order(ce(spark, d).withColumn("arrival", F.struct(F.col("seq") * 31 % 97, "seq")), "arrival")
 
 
-@query(f"WITH {CE} SELECT 'temporal_anomaly' AS conflict_type, 'low' AS severity, subject AS issue_id, source_id, ts AS before, ts FROM ce WHERE false")
+@query(f"WITH {CE} SELECT 'temporal_anomaly' AS conflict_type, 'low' AS severity, subject AS issue_id, source_id, before, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY subject ORDER BY ts, seq) AS before FROM ce) WHERE ts < before")
 def conflict_temporal(spark, d):
     return X.out_of_order(ce(spark, d).withColumn("sorted", F.struct("ts", "seq")), "sorted")
 
 
-@query(f"""WITH {_IRR}, {_RAPID}, {_DUP}, {_OWN}, every AS (SELECT conflict_type, severity FROM x2 UNION ALL SELECT conflict_type, severity FROM x3 UNION ALL SELECT conflict_type, severity FROM x4 UNION ALL SELECT conflict_type, severity FROM x6)
-SELECT coalesce(severity, '*') AS severity, coalesce(conflict_type, '*') AS conflict_type, count(*) AS n FROM every GROUP BY GROUPING SETS ((severity), (conflict_type), ())""")
+_ARRIVED = """a7 AS (SELECT *, lag(ts) OVER (PARTITION BY subject ORDER BY seq * 31 % 97, seq) AS before FROM ce), x7 AS (SELECT 'temporal_anomaly' AS conflict_type, 'low' AS severity, subject AS issue_id FROM a7 WHERE ts < before),
+x1 AS (SELECT DISTINCT 'state_consistency_gap' AS conflict_type, 'medium' AS severity, subject AS issue_id FROM ce WHERE event_type = 'IssueCreated' AND seq % 3 = 0 AND subject NOT IN (SELECT subject FROM ce WHERE event_type = 'IssueClosed'))"""
+_SEVEN = f"WITH {_IRR.replace(CE, CLAIMS)}, {_RAPID}, {_DUP}, {_CON}, {_OWN}, {_ARRIVED}, every AS (" + " UNION ALL ".join(f"SELECT conflict_type, severity, issue_id FROM x{k}" for k in range(1, 8)) + ")"
+
+
+def seven(spark, d):
+    events = ce(spark, d).withColumn("arrival", F.struct(F.col("seq") * 31 % 97, "seq"))
+    snapshot = events.where("event_type = 'IssueCreated' AND seq % 3 = 0").select(F.col("subject").alias("issue_id")).distinct()
+    return X.detected(events, T.state_intervals(events), C.event_claims(events), snapshot, 3600.0, 2880.0, "arrival")
+
+
+@query(f"{_SEVEN} SELECT coalesce(severity, '*') AS severity, coalesce(conflict_type, '*') AS conflict_type, count(*) AS n FROM every GROUP BY GROUPING SETS ((severity), (conflict_type), ())")
 def conflict_summary(spark, d):
-    return X.rollup([f(spark, d) for f in (conflict_irregularity, conflict_rapid_closure, conflict_duplicate_label, conflict_ownership)])
+    return X.rollup(seven(spark, d))
+
+
+@query(f"{_SEVEN} SELECT * FROM every")
+def conflict_report(spark, d):
+    return X.report(seven(spark, d)).select("conflict_type", "severity", "issue_id")
 
 
 # ---- claims
@@ -233,6 +254,63 @@ _claims_of_kind("claims_rule_assignment", "Assignment", "OwnershipChange")
 _claims_of_kind("claims_rule_labels", "Reference")
 
 
+_FULL = CE + """, fe AS (SELECT * REPLACE (CASE WHEN event_type = 'CommentAdded' AND seq % 2 = 0 THEN 'Referenced' ELSE event_type END AS event_type),
+  CASE WHEN event_type = 'IssueCreated' THEN ['label_' || (seq % 7), 'Label_' || (seq % 3)] ELSE [] END AS labels, event_type = 'IssueCreated' AND seq % 4 = 0 AS is_pull_request, seq % 2 = 0 AS synthetic FROM ce)"""
+
+
+def full_events(spark, d):
+    """The canonical stream with what only nested issues have: labels and kind of created issues, closings from snapshots, references."""
+    kind, seq = F.col("event_type"), F.col("seq")
+    created = kind == "IssueCreated"
+    held = F.when(created, F.array(F.concat(F.lit("label_"), seq % 7), F.concat(F.lit("Label_"), seq % 3))).otherwise(F.array().cast("array<string>"))
+    return ce(spark, d).select("*", held.alias("labels"), (created & (seq % 4 == 0)).alias("is_pull_request"), (seq % 2 == 0).alias("synthetic")).withColumn("event_type", F.when((kind == "CommentAdded") & (seq % 2 == 0), "Referenced").otherwise(kind))
+
+
+def _rule(name: str, predicate: str, inner: str) -> None:
+    sql = f"""WITH {_FULL}, r AS ({inner}) SELECT substr(sha256(concat_ws('::', claim_type, subject, '{predicate}', object, coalesce(value, ''), source_id)), 1, 12) AS claim_id, claim_type, subject, '{predicate}' AS predicate, object, value, confidence, excerpt, source_id, 'active' AS status,
+  substr(sha256(concat_ws('::', claim_type, subject, '{predicate}', object, coalesce(value, 'None'))), 1, 16) AS content_hash, ts AS created_at, seq FROM r"""
+
+    @query(sql, name)
+    def run(spark, d):
+        return C.event_claims(full_events(spark, d)).where(F.col("predicate") == predicate)
+
+
+_rule("claims_rule_pull_request", "is_pull_request", "SELECT *, 'Reference' AS claim_type, 'true' AS object, 'PR' AS value, 0.99::DOUBLE AS confidence, subject || ' is a pull request' AS excerpt FROM fe WHERE is_pull_request")
+_rule("claims_rule_has_label", "has_label", "SELECT *, 'Reference' AS claim_type, NULL::VARCHAR AS value, 0.95::DOUBLE AS confidence, subject || ' labeled ' || chr(39) || object || chr(39) || ' at creation' AS excerpt FROM (SELECT *, unnest(labels) AS object FROM fe WHERE event_type = 'IssueCreated')")
+_rule("claims_rule_referenced", "externally_referenced", "SELECT *, 'Reference' AS claim_type, actor AS object, NULL::VARCHAR AS value, 0.7::DOUBLE AS confidence, subject || ' referenced by ' || actor AS excerpt FROM fe WHERE event_type = 'Referenced'")
+_rule("claims_rule_synthetic_close", "closed_by", "SELECT *, 'StatusChange' AS claim_type, actor AS object, 'closed' AS value, CASE WHEN synthetic THEN 0.85 ELSE 0.95 END::DOUBLE AS confidence, subject || ' closed by ' || actor AS excerpt FROM fe WHERE event_type = 'IssueClosed'")
+
+
+@query(f"WITH {CLAIMS} SELECT claim_id, excerpt AS said, source_id AS sources, 1 AS support_count, least(length(excerpt), 500) AS char_offset_end, created_at AS \"at\", 'rule-engine' AS model FROM cl")
+def claims_with_evidence(spark, d):
+    out = C.with_evidence(C.event_claims(ce(spark, d)))
+    one = F.col("evidence")[0]
+    return out.select("claim_id", one["excerpt"].alias("said"), F.array_join("source_ids", ",").alias("sources"), "support_count", one["char_offset_end"].alias("char_offset_end"), one["timestamp"].alias("at"), F.col("extraction_meta.model").alias("model"))
+
+
+@query(f"WITH {CLAIMS} SELECT claim_id, created_at, seq FROM cl ORDER BY created_at, seq, claim_id LIMIT 100 OFFSET 50")
+def claims_in_time_order(spark, d):
+    return C.in_time_order(C.event_claims(ce(spark, d))).select("claim_id", "created_at", "seq").offset(50).limit(100)
+
+
+@query(f"WITH {CLAIMS} SELECT claim_type, predicate, count(*) AS n FROM cl GROUP BY ALL")
+def claim_counts(spark, d):
+    return K.most_common(C.event_claims(ce(spark, d)), "claim_type", "predicate")
+
+
+_MERGED = """, lead AS (SELECT *, first_value(claim_id) OVER (PARTITION BY claim_type, subject, predicate, object, value ORDER BY seq) AS leader FROM cl)"""
+
+
+@query(f"""WITH {CLAIMS}{_MERGED} SELECT substr(sha256(concat_ws('::', claim_type, subject, predicate)), 1, 12) AS claim_id, leader AS first_claim_id, subject, predicate, object, value, round_even(max(confidence), 3) AS confidence,
+  string_agg(excerpt, '|' ORDER BY seq) AS said, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources, count(*) AS support_count, CASE WHEN count(*) > 1 THEN 1.0::DOUBLE END AS similarity FROM lead GROUP BY claim_type, leader, subject, predicate, object, value""")
+def claims_canonical(spark, d):
+    claims = C.event_claims(ce(spark, d))
+    same = claims.groupBy("claim_type", "subject", "predicate", "object", "value").agg(F.array_sort(F.collect_list(F.struct("seq", "claim_id"))).alias("m"))
+    members = same.select(F.explode("m.claim_id").alias("id"), F.col("m")[0]["claim_id"].alias("leader"), F.lit(1.0).alias("sim"))
+    out = S.canonical_claims(claims, members)
+    return out.select("claim_id", "first_claim_id", "subject", "predicate", "object", "value", "confidence", F.array_join("evidence.excerpt", "|").alias("said"), F.array_join("source_ids", ",").alias("sources"), "support_count", "similarity")
+
+
 def _comment_claims(kind: str, inner: str) -> str:
     return f"""WITH {COM}, r AS ({inner}), c AS (SELECT substr(sha256(concat_ws('::', '{kind}', subject, predicate, object, coalesce(value, ''), source_id)), 1, 12) AS claim_id, '{kind}' AS claim_type, subject, predicate, object, value,
 confidence, substr(body, 1, 300) AS excerpt, source_id, seq, row_number() OVER (PARTITION BY subject, predicate, object, value, source_id ORDER BY seq) AS n FROM r) SELECT * EXCLUDE (n) FROM c WHERE n = 1"""
@@ -286,9 +364,30 @@ def claims_validated(spark, d):
     return C.validated(raw).select("doc_id", "claim_type", "predicate", "confidence", "excerpt")
 
 
-@query(f"WITH {COM} SELECT seq, subject FROM com WHERE length(trim(body)) >= 20 AND (contains(body, '#') OR contains(lower(body), 'issue'))")
+_SIGNS = {0: " #12", 1: " Decision", 2: " agreed on", 3: " see issue 4", 4: " CLOSES it", 5: " depends", 6: " a duplicated line"}
+
+
+def marked_comments(spark, d):
+    """Conversation turns, most with one word that can make a comment worth reading, a part of them cut short."""
+    n = F.col("conv_id") * 100 + F.col("turn")
+    sign = F.coalesce(*(F.when(n % 10 == k, w) for k, w in _SIGNS.items()), F.lit(""))
+    body = F.concat(F.when(n % 3 == 0, F.substring("text", 1, 12)).otherwise(F.col("text")), sign)
+    return table(spark, d, "conversations").select(n.alias("seq"), F.concat(F.lit("issue_"), F.col("conv_id")).alias("subject"), F.lit("c").alias("source_id"), body.alias("body"))
+
+
+_MARKED = "mc AS (SELECT conv_id * 100 + turn AS seq, 'issue_' || conv_id AS subject, CASE WHEN (conv_id * 100 + turn) % 3 = 0 THEN substr(text, 1, 12) ELSE text END || CASE (conv_id * 100 + turn) % 10 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in _SIGNS.items()) + " ELSE '' END AS body FROM conversations)"
+_SIGNAL = f"length(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) >= 20 AND (contains(body, '#') OR contains(lower(body), 'issue') OR len(list_filter({list(C.SIGNALS)}, lambda w: contains(lower(body), w))) > 0)"
+
+
+@query(f"WITH {_MARKED} SELECT seq, subject FROM mc WHERE {_SIGNAL}")
 def signal_filter(spark, d):
-    return C.signal_comments(comments(table(spark, d, "conversations"))).select("seq", "subject")
+    return C.signal_comments(marked_comments(spark, d)).select("seq", "subject")
+
+
+@query(f"WITH {_MARKED} SELECT count(*) FILTER ({_SIGNAL}) AS processed, count(*) FILTER (NOT ({_SIGNAL})) AS skipped, count(*) AS raw_claims, count(DISTINCT subject) AS unique_claims FROM mc")
+def extraction_totals(spark, d):
+    rows = marked_comments(spark, d)
+    return C.run_totals(rows, rows, rows.select("subject").distinct())
 
 
 @query(f"""WITH {COM}, f AS (SELECT seq, source_id, subject, regexp_extract(substr(body, 1, 3000), '#(\\d+)') AS object FROM com WHERE length(trim(body)) >= 20)
@@ -341,7 +440,7 @@ _entities("entity_search", "ent WHERE contains(lower(canonical_name), 'user_1')
 _entities("entity_lookup", "ent WHERE canonical_name = 'issue_9'", lambda e: K.lookup(E.all_entities(e), "canonical_name", "issue_9"))
 
 
-@query(f"WITH {ENT} SELECT entity_id AS id, canonical_name AS label, entity_type AS type, CASE entity_type WHEN 'Person' THEN '#4CAF50' WHEN 'Issue' THEN '#2196F3' ELSE '#FF9800' END AS color, first_seen, last_seen FROM ent")
+@query(f"WITH {ENT} SELECT entity_id AS id, canonical_name AS label, entity_type AS type, CASE entity_type WHEN 'Person' THEN '#50C878' WHEN 'Issue' THEN '#4A90D9' ELSE '#F5A623' END AS color, aliases, first_seen, last_seen FROM ent")
 def graph_nodes(spark, d):
     return G.nodes(E.all_entities(ce(spark, d)))
 
@@ -362,10 +461,63 @@ def graph_edges(spark, d):
     return G.event_edges(events, E.alias_map(E.all_entities(events)))
 
 
-@query(f"""WITH {ENT.replace(CE, CLAIMS)} SELECT x.entity_id AS from_id, coalesce(y.entity_id, 'claim_' || claim_id) AS to_id, predicate AS label, claim_id, confidence FROM cl JOIN ali x ON x.alias = lower(subject) LEFT JOIN ali y ON y.alias = lower(object)""")
+@query(f"""WITH {ENT.replace(CE, CLAIMS)} SELECT x.entity_id AS from_id, coalesce(y.entity_id, 'claim_' || claim_id) AS to_id, predicate AS label, claim_type AS type, claim_id, confidence, excerpt AS said, source_id AS sources, status FROM cl JOIN ali x ON x.alias = lower(subject) LEFT JOIN ali y ON y.alias = lower(object)""")
 def graph_claim_edges(spark, d):
     events = ce(spark, d)
-    return G.claim_edges(C.event_claims(events), E.alias_map(E.all_entities(events)))
+    out = G.claim_edges(C.event_claims(events), E.alias_map(E.all_entities(events)))
+    return out.withColumn("said", F.array_join("evidence", "|")).withColumn("sources", F.array_join("source_ids", ",")).drop("evidence", "source_ids")
+
+
+@query(f"""WITH {_FULL}, {ENT[len(CE) + 2 :]}, h AS (SELECT subject, unnest(labels) AS object, source_id FROM fe WHERE event_type = 'IssueCreated')
+SELECT 'claim_' || substr(sha256(concat_ws('::', 'Reference', subject, 'has_label', object, '', source_id)), 1, 12) AS id, 'has_label → ' || object AS label, 'Claim' AS type, '#E74C3C' AS color, 'Reference' AS claim_type, 0.95::DOUBLE AS confidence, NULL::VARCHAR AS value
+FROM h WHERE lower(object) NOT IN (SELECT alias FROM ali WHERE alias <> 'label_0')""")
+def graph_claim_nodes(spark, d):
+    claims = C.event_claims(full_events(spark, d)).where("predicate = 'has_label'")
+    return G.claim_nodes(claims, E.alias_map(E.all_entities(ce(spark, d))).where("alias <> 'label_0'"))
+
+
+@query(f"""WITH {_FULL}, f AS (SELECT subject, count(DISTINCT source_id) AS n_sources, min(ts) AS first_seen, max(ts) AS last_seen, bool_or(is_pull_request) AS pull, arg_max(labels, seq) FILTER (len(labels) > 0) AS held FROM fe GROUP BY subject)
+SELECT substr(sha256(CASE WHEN pull THEN 'PullRequest::' ELSE 'Issue::' END || subject), 1, 12) AS entity_id, CASE WHEN pull THEN 'PullRequest' ELSE 'Issue' END AS entity_type, subject AS canonical_name, n_sources, first_seen, last_seen,
+  coalesce(held[1] || ',' || held[2], '') AS labels FROM f""")
+def entities_pull_request(spark, d):
+    return E.labelled_issues(full_events(spark, d)).select("entity_id", "entity_type", "canonical_name", "n_sources", "first_seen", "last_seen", F.array_join("properties.labels", ",").alias("labels"))
+
+
+_JOINED = "j AS (SELECT *, CASE WHEN entity_type = 'Person' AND length(canonical_name) = 7 THEN substr(sha256('Person::user_' || right(canonical_name, 1)), 1, 12) ELSE entity_id END AS led FROM ent)"
+
+
+def _persons_merged(spark, d):
+    """Persons whose names have two digits join the one with the last digit."""
+    entities = E.all_entities(ce(spark, d))
+    two = (F.col("entity_type") == "Person") & (F.length("canonical_name") == 7)
+    target = F.substring(F.sha2(F.concat(F.lit("Person::user_"), F.substring("canonical_name", 7, 1)), 256), 1, 12)
+    return E.merged_persons(entities, entities.select(F.col("entity_id").alias("id"), F.when(two, target).otherwise(F.col("entity_id")).alias("leader"), F.lit(0.9).alias("sim")))
+
+
+@query(f"""WITH {ENT}, {_JOINED}, s AS (SELECT led, sum(n_sources) AS n_sources FROM j GROUP BY led), n AS (SELECT led, string_agg(DISTINCT name, ',' ORDER BY name) AS aliases FROM (SELECT led, unnest(string_split(aliases, ',')) AS name FROM j) WHERE name <> '' GROUP BY led)
+SELECT entity_id, entity_type, canonical_name, coalesce(n.aliases, '') AS aliases, CAST(s.n_sources AS BIGINT) AS n_sources, first_seen, last_seen FROM ent JOIN s ON s.led = entity_id LEFT JOIN n ON n.led = entity_id""")
+def entities_person_merged(spark, d):
+    return _persons_merged(spark, d)[0]
+
+
+@query(f"WITH {ENT}, {_JOINED} SELECT DISTINCT lower(canonical_name) AS alias, led AS entity_id FROM j")
+def alias_map_merged(spark, d):
+    return _persons_merged(spark, d)[1]
+
+
+NAMES = ("USER_1", "issue_9", "issue_user_3", "label_2", "nobody", "")
+
+
+@query(f"""WITH {ENT}, q(name) AS (VALUES {", ".join(f"('{n}')" for n in NAMES)}) SELECT name, CASE WHEN name <> '' THEN coalesce(x.entity_id, y.entity_id) END AS entity_id FROM q LEFT JOIN ali x ON x.alias = lower(name) LEFT JOIN ali y ON y.alias = lower(replace(name, 'issue_', ''))""")
+def entity_resolve(spark, d):
+    return G.resolved(spark.createDataFrame([(n,) for n in NAMES], "name string"), "name", E.alias_map(E.all_entities(ce(spark, d))), "entity_id")
+
+
+@query(f"""WITH {ENT}, q(name) AS (VALUES {", ".join(f"('{n}')" for n in NAMES)}) SELECT name, entity_id FROM q LEFT JOIN ali ON alias = lower(name)""")
+def entity_find(spark, d):
+    entities = E.all_entities(ce(spark, d))
+    aliases = E.alias_map(entities).where("alias <> 'label_2'")
+    return E.find(entities, aliases, spark.createDataFrame([(n,) for n in NAMES], "name string"))
 
 
 @query(f"WITH {_EDGES} SELECT ed.* FROM ed JOIN ent x ON x.entity_id = from_id JOIN ent y ON y.entity_id = to_id WHERE x.entity_type IN ('Issue', 'Label') AND y.entity_type IN ('Issue', 'Label')")
@@ -426,16 +578,15 @@ def vector_pairs(spark, d):
     return S.pairs(vectors(spark, d), 0.35).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {VEC}, q AS (SELECT vector FROM v WHERE id = 0) SELECT id, round(list_dot_product(v.vector, q.vector), 6) AS sim FROM v, q ORDER BY list_dot_product(v.vector, q.vector) DESC, id LIMIT 10")
+@query(f"WITH {VEC}, m AS (SELECT id, list_dot_product(vector, {[0.125] * 64}::DOUBLE[]) AS s FROM v) SELECT id, round(s, 6) AS sim FROM m ORDER BY s DESC, id LIMIT 10")
 def vector_topk(spark, d):
-    asked = vectors(spark, d).where("id = 0").select("vector").first()[0]
-    return S.nearest(vectors(spark, d), list(asked), 10).withColumn("sim", F.round("sim", 6))
+    return S.nearest(vectors(spark, d), [0.125] * 64, 10).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"""WITH {VEC}, m AS (SELECT q.id AS qid, v.id, list_dot_product(v.vector, q.vector) AS sim FROM v JOIN v q ON q.id % 1000 = 0)
+@query(f"""WITH {VEC}, m AS (SELECT q.id AS qid, v.id, list_dot_product(v.vector, q.vector) AS sim FROM v JOIN v q ON q.id % 100 = 0)
 SELECT qid, id, round(sim, 6) AS sim, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS place FROM m) WHERE place <= 5 AND sim > 0.3""")
 def vector_topk_each(spark, d):
-    asked = vectors(spark, d).where("id % 1000 = 0").select(F.col("id").alias("qid"), "vector")
+    asked = vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
     return S.nearest_each(asked, vectors(spark, d), 5, 0.3).withColumn("sim", F.round("sim", 6))
 
 
@@ -443,23 +594,47 @@ def _members(spark, d):
     return S.leaders(vectors(spark, d), 0.35)
 
 
-@query()
+#: One row after the other, in the order of ids, against the leaders so far.
+_LEAD = f"""WITH RECURSIVE {VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS r FROM v),
+w(block, r, id, heads, leader, sim) AS (SELECT block, r, id, [{{'id': id, 'vector': vector}}], id, 1.0::DOUBLE FROM o WHERE r = 1 UNION ALL
+  SELECT block, r, id, CASE WHEN hit IS NULL THEN list_append(heads, {{'id': id, 'vector': vector}}) ELSE heads END, coalesce(hit.id, id), coalesce(hit.sim, 1.0) FROM (
+  SELECT o.block, o.r, o.id, o.vector, w.heads, list_filter(list_transform(w.heads, lambda h: {{'id': h.id, 'sim': list_dot_product(h.vector, o.vector)}}), lambda x: x.sim >= 0.35)[1] AS hit FROM w JOIN o ON o.block = w.block AND o.r = w.r + 1))"""
+
+
+@query(f"{_LEAD} SELECT id, leader, round(sim, 6) AS sim FROM w")
 def leader_clusters(spark, d):
     return _members(spark, d).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query(f"{_LEAD} SELECT id, leader, round(sim, 6) AS sim FROM w")
+def leader_clusters_by_rounds(spark, d):
+    rows = vectors(spark, d)
+    return S.leaders_of(rows, S.pairs(rows, 0.35)).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"{_LEAD} SELECT leader, round_even(max(id % 10 / 10.0::DOUBLE), 3) AS confidence, string_agg('e' || id, '|' ORDER BY id) AS evidence, count(*) AS support_count, round(avg(sim) FILTER (id <> leader), 6) AS similarity FROM w GROUP BY leader")
 def cluster_merge(spark, d):
     own = _members(spark, d).withColumn("confidence", F.col("id") % 10 / 10).withColumn("evidence", F.concat(F.lit("e"), F.col("id")))
     return S.merged(own).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_LOG = f"{_LEAD}, log AS (SELECT leader, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (id <> leader) AS merged_ids, count(*) AS n, round_even(avg(sim) FILTER (id <> leader), 6) AS similarity FROM w GROUP BY leader HAVING n > 1)"
+
+
+@query(f"{_LOG} SELECT similarity, substr(sha256('claim::' || merged_ids || '::' || leader), 1, 12) AS merge_id, 'claim' AS merge_type, leader AS target_id, merged_ids, 'cluster of ' || n AS reason, 'active' AS status FROM log")
 def merge_log(spark, d):
     return S.merge_log(_members(spark, d), "claim")
 
 
-@query()
+@query(f"{_LOG} SELECT log.leader AS target_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM log JOIN w ON w.leader = log.leader GROUP BY log.leader")
+def merge_snapshots(spark, d):
+    members = settled(_members(spark, d))
+    log = S.with_snapshots(S.merge_log(members, "claim"), members, vectors(spark, d).select(F.col("id").alias("vec_id"), "block"), "vec_id")
+    back = F.from_json("snapshot", "array<struct<vec_id: bigint, block: int>>")
+    return log.select("target_id", F.array_join(F.transform(back, lambda x: x["vec_id"].cast("string")), ",").alias("ids"))
+
+
+@query(f"{_LEAD} SELECT id, block FROM w WHERE id = leader OR leader % 2 = 0")
 def merge_reverse(spark, d):
     members = _members(spark, d)
     log = S.merge_log(members, "claim")
@@ -491,6 +666,28 @@ def supersede(spark, d):
     return K.supersede(claims, replaced).select("claim_id", "status", "superseded_by")
 
 
+@query(f"""WITH {CLAIMS} SELECT claim_id, CASE WHEN predicate = 'closed_by' THEN 'superseded' ELSE status END AS status, CASE WHEN predicate = 'closed_by' THEN 'new_' || claim_id END AS superseded_by, value FROM cl
+UNION ALL SELECT 'new_' || claim_id, 'active', NULL, 'shut' FROM cl WHERE predicate = 'closed_by'""")
+def supersede_with_insert(spark, d):
+    claims = C.event_claims(ce(spark, d))
+    old = claims.where("predicate = 'closed_by'")
+    new = old.withColumn("claim_id", F.concat(F.lit("new_"), F.col("claim_id"))).withColumn("value", F.lit("shut"))
+    return K.superseded(claims, old.select("claim_id", F.concat(F.lit("new_"), F.col("claim_id")).alias("superseded_by")), new).select("claim_id", "status", "superseded_by", "value")
+
+
+@query(f"""WITH {ENT}, new AS (SELECT entity_id, canonical_name || ' the second' AS canonical_name FROM ent WHERE entity_type = 'Person')
+SELECT alias, entity_id FROM ali UNION ALL SELECT lower(canonical_name), entity_id FROM new""")
+def entity_upsert_aliases(spark, d):
+    entities = E.all_entities(ce(spark, d))
+    new = entities.where("entity_type = 'Person'").withColumn("canonical_name", F.concat(F.col("canonical_name"), F.lit(" the second"))).withColumn("aliases", F.lit(""))
+    return K.upsert_entities(entities, E.alias_map(entities), new)[1]
+
+
+@query(f"WITH {CE} SELECT count(*) AS total FROM ce WHERE subject = 'issue_7' AND event_type = 'CommentAdded'")
+def events_page_total(spark, d):
+    return K.paged(K.listed(ce(spark, d), subject="issue_7", event_type="CommentAdded"), "seq", 2, 20)[1]
+
+
 @query(f"WITH {CE} SELECT subject, event_type, min(seq) AS seq, arg_min(source_id, seq) AS source_id FROM ce GROUP BY subject, event_type")
 def first_wins(spark, d):
     return first_of(ce(spark, d), ["subject", "event_type"]).select("subject", "event_type", "seq", "source_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import claims, conflicts, entities, graph, models, retrieval, similarity, temporal
+from chronoloom.operators import claims, conflicts, entities, graph, models, retrieval, similarity, store, temporal
 from chronoloom.sources import issues
 from chronoloom.sources.tables import settled
 
@@ -15,13 +15,13 @@ Stage = Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]
 
 #: Claims this similar are one claim.
 SIMILAR_CLAIMS = 0.85
-EXAMPLES = ["Which issues are currently open?", "What labels are most commonly used?", "Are there any issues with state conflicts or reopens?", "Who was assigned to issue_1?"]
+EXAMPLES = ["Did someone reopen issue_3 after it was closed?", "List the work that user_2 took over in January", "Where does label_1 occur twice?", "Show decisions about issue_1"]
 
 
 def transform(spark: SparkSession, path: str, folder: str) -> None:
     """Writes the events of a file of nested issues to the folder, numbered in the order of time, and its comments with whole bodies."""
     flat = issues.events(issues.read(spark, path))
-    flat.select("seq", "source_id", "subject", F.col("timestamp").alias("ts"), "actor", "event_type", "extra.assignee", "extra.label").write.mode("overwrite").parquet(f"{folder}/events")
+    flat.select("seq", "source_id", "subject", F.col("timestamp").alias("ts"), "actor", "event_type", "evidence", "source_url", "extra.*").write.mode("overwrite").parquet(f"{folder}/events")
     flat.where("event_type = 'CommentAdded'").select("subject", "seq", "actor", "source_id", F.col("evidence_full").alias("body")).write.mode("overwrite").parquet(f"{folder}/comments")
 
 
@@ -31,13 +31,17 @@ def _dedup(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     text = F.concat_ws(" ", "claim_type", "subject", "predicate", "object", "value")
     vectors = rows.select(F.col("claim_id").alias("id"), "seq", F.col("subject").alias("block"), models.embedded(text).alias("vector"))
     members = similarity.leaders(vectors, SIMILAR_CLAIMS)
-    kept = rows.join(members.where("id = leader").select(F.col("id").alias("claim_id")), "claim_id", "left_semi")
-    return {"canonical_claims": kept, "merge_log": similarity.merge_log(members, "claim")}
+    members = settled(members)
+    first = members.where("id = leader").select(F.col("id").alias("claim_id"))
+    sums = similarity.canonical_claims(rows, members).select(F.col("first_claim_id").alias("claim_id"), F.col("confidence").alias("__c"), "evidence", "source_ids", "support_count", "similarity")
+    kept = rows.join(first, "claim_id", "left_semi").join(sums, "claim_id").withColumn("confidence", F.col("__c")).drop("__c")
+    log = similarity.with_snapshots(similarity.merge_log(members, "claim"), members, rows, "claim_id")
+    return {"canonical_claims": kept, "merge_log": log}
 
 
 def _retrieve(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     """Items, citations and packs of the example questions, by keywords and by vectors."""
-    names, said = read("entities"), read("canonical_claims")
+    names, said = read("entities"), store.first_with_rows(read("canonical_claims"), read("claims"))
     asked = names.sparkSession.createDataFrame(list(enumerate(EXAMPLES, 1)), "qid int, question string")
     words, vectors = retrieval.question_words(asked), asked.select("qid", models.embedded(F.col("question")).alias("vector"))
     near = lambda rows, k: similarity.nearest_each(vectors, rows.select("id", models.embedded(F.col("text")).alias("vector")), k, retrieval.SIMILAR)
