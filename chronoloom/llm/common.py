@@ -5,6 +5,7 @@ Modules whose functions run in Python workers call ``ship_by_value`` so that exe
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -178,6 +179,14 @@ def worker_cache(key: str, make):
     return kept[key]
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system at the end of a task: its worker goes on to other tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def word_table(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the runs of bytes without ASCII white space, and the n + 1 offsets of each row's words.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from chronoloom.llm.common import fresh, quoted, require, ship_by_value, slices, text_buffers
+from chronoloom.llm.common import fresh, quoted, release_memory, require, ship_by_value, slices, text_buffers
 
 ship_by_value(__name__)
 
@@ -240,6 +240,7 @@ def predict(docs: DataFrame, model: ByteGru, language: str = "lang_pred", score:
             share = np.where(known, total[best, np.arange(len(size))] / np.maximum(size, 1), 0.0) if model.languages else np.zeros(len(size))
             names = [model.languages[j] if ok else UNDETERMINED for j, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(names, pa.string()), pa.array(np.clip(share, 0, 1))], [*numbered, "language", "share"])
+        release_memory()
 
     schema = StructType([StructField(f.name, f.dataType) for f in kept.schema if f.name in numbered]).add("language", StringType()).add("share", DoubleType())
     found = kept.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import SLICE_BYTES, ranges, require, ship_by_value, slices, text_buffers, word_table, worker_cache
+from chronoloom.llm.common import SLICE_BYTES, ranges, release_memory, require, ship_by_value, slices, text_buffers, word_table, worker_cache
 
 ship_by_value(__name__)
 
@@ -78,7 +78,7 @@ class WordTokens:
     is encoded once. Ids of pieces seen before are kept, and forgotten when they fill ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each hold memory
         from tokenizers import Tokenizer
 
@@ -255,5 +255,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         emit(packer.drain())
         if rows:
             yield flush()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

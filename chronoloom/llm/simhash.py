@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, meet, mixed, ranges, require, row_key, ship_by_value, sized, text_buffers, with_key
+from chronoloom.llm.common import materialise, meet, mixed, ranges, release_memory, require, row_key, ship_by_value, sized, text_buffers, with_key
 from chronoloom.llm.components import connected_components
 
 ship_by_value(__name__)
@@ -50,7 +50,7 @@ MINIMA = 16
 LEAST_MINIMA = 10
 CROWD = 200_000
 #: Candidates that are compared at a time.
-COMPARED = 2_000_000
+COMPARED = 500_000
 
 _MINIMA_FACTORS = np.random.default_rng(7).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,6 +108,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, sket
             else:
                 head.append(pa.array([signed(fingerprint(t.as_py(), shingle, seed)) for t in batch.column(2)], pa.int64()))
             yield pa.RecordBatch.from_arrays(head, names)
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text"))["h"].alias("h"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, h bigint, fp bigint" + (", n bigint, minima binary" if sketched else ""))
@@ -359,6 +360,7 @@ def alike_links(nodes: DataFrame, total: int, distance: int = ALIKE_DISTANCE, pa
                     value = gathered(raw, bits)
                     yield rows(p, value, level, every)
                     yield rows(p, value, level + 1, every)
+        release_memory()
 
     schema = "key long, asks boolean, fp long, n long, minima binary"
     entries = nodes.select("fp", "n", "minima").mapInPandas(lambda frames: cells(frames, False), schema)
@@ -404,6 +406,8 @@ def alike_links(nodes: DataFrame, total: int, distance: int = ALIKE_DISTANCE, pa
                 due = max(200_000, 2 * size)
         if held:
             yield from run(True)
+        held.clear()
+        release_memory()
 
     sorted_ = every.repartition("key", "part").sortWithinPartitions("key", "part", "asks")
     return sorted_.select("key", "part", "asks", "fp", "n", "minima").mapInArrow(found, "a long, b long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, mixed, ranges, require, ship_by_value, span_hashes, text_buffers, word_table
+from chronoloom.llm.common import materialise, mixed, ranges, release_memory, require, ship_by_value, span_hashes, text_buffers, word_table
 
 ship_by_value(__name__)
 
@@ -336,6 +336,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 if n_removed[r]:
                     words = [w for w, x in zip(words, gone[b.at[r] : b.at[r + 1]].tolist(), strict=True) if not x]
                 kept[r] = b" ".join(words)
+            release_memory()
         return finish(left.column("doc_id"), n_words, n_removed, kept)
 
     def finish(ids, n_words, n_removed, kept) -> pa.Table:
