@@ -48,8 +48,7 @@ COPIES, SHARED, HEAVY, NODES = 0, 1, 2, 3
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as compressed planes of bytes."""
-    parts = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    body = b"".join(parts)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
     return len(arrays[0]).to_bytes(8, "little") + len(body).to_bytes(8, "little") + (pa.compress(body, "zstd", asbytes=True) if body else b"")
 
 

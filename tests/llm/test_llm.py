@@ -57,6 +57,15 @@ def assert_substrings(spark, texts):
     return sum(r[2] for r in want)
 
 
+def test_substrings_with_a_prefix_heavy_in_one_block_only(spark):
+    texts = [(1, " ".join(f"x y{k}" for k in range(60)))] + [(k, " ".join(f"w{k}v{j}" for j in range(20))) for k in range(2, 40)]
+    texts += [(50 + k, " ".join(f"w2v{j}" for j in range(k, k + 14))) for k in range(4)]
+    want = [((None if i == substring.LAST_ID else i), *rest) for i, *rest in substring.brute_force(texts)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for most in (40, 100, 400):
+        assert rows(substring.digest(substring.dedup_passages(df, block_bytes=600, group_suffixes=most))) == sorted(want, key=repr)
+
+
 def test_substrings_across_neighbouring_documents(spark):
     passage, own = " ".join(f"p{i}" for i in range(13)), lambda x: " ".join(f"{x}{i}" for i in range(20))
     assert assert_substrings(spark, [(1, f"{own('a')} {passage}"), (2, f"{passage} {own('b')}")]) == 13
