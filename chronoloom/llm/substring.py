@@ -43,7 +43,8 @@ PREFIXES = (1, 2, 4, 8)
 LAST_ID = 2**63 - 1
 
 MESSAGE = "grp int, block int, kind int, body binary, ids array<bigint>"
-COPIES, SHARED, HEAVY, NODES = 0, 1, 2, 3
+#: ids of COPIES are ids and keys of texts; of SHARED, a block's frequent prefixes with their counts, or on the way back heavy prefixes.
+COPIES, SHARED, NODES = 0, 1, 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -65,15 +66,15 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    grp, block, kind, body = zip(*rows, strict=True) if rows else ((), (), (), ())
+def messages(rows: list[tuple[int, int, int, bytes, np.ndarray | None]]) -> pa.Table:
+    grp, block, kind, body, ids = zip(*rows, strict=True) if rows else ((), (), (), (), ())
     return pa.table(
         {
             "grp": pa.array(grp, pa.int32()),
             "block": pa.array(block, pa.int32()),
             "kind": pa.array(kind, pa.int32()),
             "body": pa.array(body, pa.binary()),
-            "ids": pa.nulls(len(grp), pa.list_(pa.int64())),
+            "ids": pa.array(ids, pa.list_(pa.int64())),
         }
     )
 
@@ -147,12 +148,16 @@ class Block:
 
 
 def received(right: pa.Table) -> dict[int, list]:
-    got: dict[int, list] = {COPIES: [], SHARED: [], HEAVY: [], NODES: []}
+    got: dict[int, list] = {COPIES: [], SHARED: [], NODES: []}
     for kind, body, ids in zip(right.column("kind").to_pylist(), right.column("body").to_pylist(), right.column("ids").to_pylist(), strict=True):
-        got[kind].append(ids if kind == COPIES else body)
+        got[kind].append({COPIES: ids, SHARED: (body, ids), NODES: body}[kind])
     return got
 
 
+def heavy_of(got: dict[int, list]) -> np.ndarray:
+    return np.sort(joined([np.array(ids, np.int64).view(np.uint64) for _, ids in got[SHARED] if ids], "u8"))
+
+
 def joined(parts: list[np.ndarray], dtype: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
@@ -192,6 +197,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         own = int(left.column("block")[0].as_py())
         b = Block(left, copies_of(received(right)), window, anchor)
         out = []
+        frequent, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(b.anchors):
             # a run ends with its document, too
             heads = np.union1d(runs(b.anchors), runs(b.row))
@@ -200,13 +206,6 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             keys, who = keys[order], who[order]
             heads = runs(keys)
             keys, low, high = keys[heads], np.minimum.reduceat(who, heads), np.maximum.reduceat(who, heads)
-            bucket = (keys % np.uint64(n_blocks)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_blocks + 1))
-            for g in range(n_blocks):
-                i = order[cuts[g] : cuts[g + 1]]
-                if len(i):
-                    out.append((g, own, SHARED, pack(keys[i], low[i], high[i])))
             # A prefix with twice group_suffixes suffixes in all has this many in some block.
             least, which = max(1, group_suffixes // n_blocks), np.arange(len(b.first))
             found_keys, found_counts = [], []
@@ -221,18 +220,27 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 found_keys.append(u[c >= least])
                 found_counts.append(c[c >= least])
                 which = which[c[inverse] >= least]
-            if sum(map(len, found_keys)):
-                out.append((-1, own, HEAVY, pack(np.concatenate(found_keys), np.concatenate(found_counts).astype(np.int64))))
+            if found_keys:
+                frequent, counts = np.concatenate(found_keys), np.concatenate(found_counts).astype(np.int64)
+            bucket, home = ((x % np.uint64(n_blocks)).astype(np.int64) for x in (keys, frequent))
+            order, asked = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
+            cuts, ends = (np.searchsorted(x, np.arange(n_blocks + 1)) for x in (bucket[order], home[asked]))
+            for g in range(n_blocks):
+                i, j = order[cuts[g] : cuts[g + 1]], asked[ends[g] : ends[g + 1]]
+                if len(i) or len(j):
+                    pairs = np.column_stack([frequent[j].view(np.int64), counts[j]]).reshape(-1) if len(j) else None
+                    out.append((g, own, SHARED, pack(keys[i], low[i], high[i]), pairs))
         return messages(out)
 
     def shared_of(t: pa.Table) -> pa.Table:
-        grp = t.column("grp")[0].as_py()
+        """Anchors of several documents, to the blocks that have them; prefixes heavy in all blocks together, to every block."""
         bodies, owners = t.column("body").to_pylist(), t.column("block").to_numpy()
-        if grp < 0:
-            parts = [unpack(x, "u8", "i8") for x in bodies]
-            keys, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            heavy = keys[np.bincount(inverse, np.concatenate([x[1] for x in parts])) >= group_suffixes]
-            return messages([(0, g, HEAVY, pack(heavy)) for g in range(n_blocks)])
+        asked = [np.array(ids, np.int64).reshape(-1, 2) for ids in t.column("ids").to_pylist() if ids]
+        heavy = None
+        if asked:
+            pairs = np.concatenate(asked)
+            keys, inverse = np.unique(pairs[:, 0], return_inverse=True)
+            heavy = keys[np.bincount(inverse, pairs[:, 1]) >= group_suffixes]
         parts = [unpack(x, "u8", "i8", "i8") for x in bodies]
         keys = np.concatenate([x[0] for x in parts])
         owner = np.repeat(owners, [len(x[0]) for x in parts])
@@ -243,12 +251,15 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         flags = np.repeat(several, np.diff(np.append(heads, len(order))))
         i = order[flags]
         i = i[np.argsort(owner[i], kind="stable")]
+        if heavy is not None and len(heavy):
+            cuts = np.searchsorted(owner[i], np.arange(n_blocks + 1))
+            return messages([(0, g, SHARED, pack(keys[i[cuts[g] : cuts[g + 1]]]), heavy) for g in range(n_blocks)])
         heads = np.append(runs(owner[i]), len(i)) if len(i) else []
-        return messages([(0, int(owner[i[a]]), SHARED, pack(keys[i[a:z]])) for a, z in zip(heads[:-1], heads[1:], strict=True)])
+        return messages([(0, int(owner[i[a]]), SHARED, pack(keys[i[a:z]]), None) for a, z in zip(heads[:-1], heads[1:], strict=True)])
 
     def windows_of(left: pa.Table, got: dict[int, list]):
         b = Block(left, copies_of(got), window, anchor)
-        which = b.survivors(np.sort(joined([unpack(x, "u8")[0] for x in got[SHARED]], "u8")))
+        which = b.survivors(np.sort(joined([unpack(body, "u8")[0] for body, _ in got[SHARED]], "u8")))
         at = b.first[which]
         return b, which, span_hashes(b.words, at, at + window)
 
@@ -263,7 +274,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         heads = runs(h[order])
         low = np.minimum.reduceat(b.ids[b.row[which]][order], heads)
         which, h = which[order][heads], h[order][heads]
-        heavy = np.sort(joined([unpack(x, "u8")[0] for x in got[HEAVY]], "u8"))
+        heavy = heavy_of(got)
         group, open_ = h.copy(), np.arange(len(which))
         for words in PREFIXES:
             if words >= window or not len(open_):
@@ -280,7 +291,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         for g in range(n_blocks):
             i = order[cuts[g] : cuts[g + 1]]
             if len(i):
-                out.append((g, own, NODES, pack(codes[b.first[which[i]][:, None] + np.arange(window)], h[i], low[i])))
+                out.append((g, own, NODES, pack(codes[b.first[which[i]][:, None] + np.arange(window)], h[i], low[i]), None))
         return messages(out)
 
     def tree_of(t: pa.Table) -> pa.Table:
@@ -301,7 +312,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         i = np.flatnonzero(least < low)
         i = i[np.argsort(owner[i], kind="stable")]
         cuts = np.append(runs(owner[i]), len(i)) if len(i) else []
-        return messages([(0, int(owner[i[a]]), NODES, pack(h[i[a:z]], least[i[a:z]])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+        return messages([(0, int(owner[i[a]]), NODES, pack(h[i[a:z]], least[i[a:z]]), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
 
     def removed_of(left: pa.Table, right: pa.Table) -> pa.Table:
         got = received(right)
