@@ -175,21 +175,26 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     require(docs, ["doc_id", "text"])
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    light = materialise(docs.select(did.alias("did"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")))
+    text = F.coalesce("text", F.lit(""))
+    # the text's hash as well, so that rows without id, or with one id, are spread
+    place = F.xxhash64(did, text)
+    light = materialise(docs.select(did.alias("did"), place.alias("place"), F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("size")))
     size = light.agg(F.sum("size")).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block_bytes))
-    block_of = F.pmod(F.xxhash64("did"), F.lit(n_blocks)).cast("int")
+    block_of = lambda hashed: F.pmod(hashed, F.lit(n_blocks)).cast("int").alias("block")
 
     twice = light.groupBy("sha").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").select("sha", "least")
+    # one row for a text and a block, so that no text's copies meet row by row
+    held = light.groupBy("sha", block_of(F.col("place"))).agg(F.collect_set("did").alias("dids"))
+    halves = ", ".join(f"cast(conv(substring(sha, {k}, 15), 16, 10) as bigint)" for k in (1, 16))
     copies = (
-        light.join(twice, "sha")
-        .where("did > least")
-        .select(block_of.alias("block"), F.array("did", *(F.conv(F.substring("sha", k, 15), 16, 10).cast("long") for k in (1, 16))).alias("key"))
+        held.join(twice, "sha")
+        .selectExpr("block", f"flatten(transform(filter(dids, d -> d > least), d -> array(d, {halves}))) as key")
         .groupBy("block")
-        .agg(F.flatten(F.collect_set("key")).alias("ids"))
+        .agg(F.flatten(F.collect_list("key")).alias("ids"))
         .select(F.lit(0).alias("grp"), "block", F.lit(COPIES).alias("kind"), F.lit(None).cast("binary").alias("body"), "ids")
     )
-    blocks = docs.select(block_of_column(did, n_blocks).alias("block"), "doc_id", did.alias("did"), F.col("text").cast("binary").alias("text"))
+    blocks = docs.select(block_of(place), "doc_id", did.alias("did"), F.col("text").cast("binary").alias("text"))
 
     def anchors_of(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -361,10 +366,6 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
-def block_of_column(did, n_blocks: int):
-    return F.pmod(F.xxhash64(did), F.lit(n_blocks)).cast("int")
-
-
 def digest(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
