@@ -1,21 +1,28 @@
 """Removal of repeated passages by prefix-partitioned suffix trees.
 
-Every word position starts a suffix. Suffixes are split by variable-length word prefixes into groups that fit in memory; each group is
-sorted, the lengths of common prefixes between neighbours give its suffix tree, and the nodes at least ``window`` words deep are the
-repeated passages. A word goes if a window that covers it also starts in a document with a smaller id.
-
-The tree is cut at ``window`` words, because deeper nodes change no verdict. Three passes run over blocks of documents:
+Suffixes are split by variable-length word prefixes into groups that fit in memory; each group is sorted, the lengths of common prefixes
+between neighbours give its suffix tree, and the internal nodes at least ``window`` words deep are the repeated passages. A node with a
+smaller document id below it removes its whole depth from the other leaves: a word goes if a window that covers it also starts in a
+document with a smaller id.
+
+Only suffixes that can begin a maximal repeat become leaves: those whose first window is *left-diverse*, that is, stands after different
+words (or at the start of a text) in different places. Two documents' longest common passage always begins at such a window in both.
+Leaves end where repeated windows end, and after ``depth`` words at most. A passage longer than that has further leaves: of each
+``depth - window + 1`` consecutive windows the one with the smallest hash, so that leaves follow each other closely enough to cover the
+passage and stand alike in all its copies. A window that stands in very many places (``class_suffixes``) gets a leaf of ``window`` words, and
+the window after it a leaf of its own, so that no prefix gathers more leaves than a task holds. Four passes run over blocks of documents:
 
 1. *anchors*: every window has the smallest hash of its 5-word runs as anchor. Equal windows have equal anchors, so only windows whose
    anchor lies in several documents can repeat across documents. The same pass counts short prefixes; those with too many suffixes are
    replaced by longer ones.
-2. *trees*: the remaining suffixes go to the group of their prefix, once for each block and distinct window with the smallest id there.
-   A node's smallest id goes back to the blocks that need it.
-3. *removal*: each block drops the covered words.
+2. *lefts*: the words before equal windows meet by the windows' hashes, which tells the left-diverse ones.
+3. *trees*: the leaves go to the group of their prefix, once for each block and distinct leaf with the smallest id there, sorted and
+   without the words that they share with the leaf before. The depth of a leaf's deepest node with a smaller id goes back to its block.
+4. *removal*: each block drops the covered words.
 
 All that is shuffled is summed up in a block first: a passage that stands in a third of all documents is one entry a block. Copies of
-whole texts are known by SHA-256 and take no part in the trees. Windows are told apart by 64-bit hashes and, in the trees, by 16-bit
-codes of their words as well. Lost executors cost recomputed tasks only; the plan has no state outside Spark.
+whole texts are known by SHA-256 and take no part in the trees. Trees tell words apart by 32-bit codes, so the word after a passage is
+taken for equal by mistake about once in 4 x 10^9 leaves. Lost executors cost recomputed tasks only; the plan has no state outside Spark.
 """
 
 from __future__ import annotations
@@ -37,6 +44,9 @@ ANCHOR = 5
 #: Bytes of text in a block, and suffixes in a group, on average at most.
 BLOCK_BYTES = 8_000_000
 GROUP_SUFFIXES = 1_000_000
+#: Words of a leaf at most, and places of a window beyond which its leaf has the window's words only.
+DEPTH = 64
+CLASS_SUFFIXES = 20_000
 #: Lengths in words that a prefix can have, short of the window.
 PREFIXES = (1, 2, 4, 8)
 #: Documents without id come after all others.
@@ -44,7 +54,7 @@ LAST_ID = 2**63 - 1
 
 MESSAGE = "grp int, block int, kind int, body binary, ids array<bigint>"
 #: ids of COPIES are ids and keys of texts; of SHARED, a block's frequent prefixes with their counts, or on the way back heavy prefixes.
-COPIES, SHARED, NODES = 0, 1, 2
+COPIES, SHARED, NODES, LEFTS = 0, 1, 2, 3
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -148,9 +158,9 @@ class Block:
 
 
 def received(right: pa.Table) -> dict[int, list]:
-    got: dict[int, list] = {COPIES: [], SHARED: [], NODES: []}
-    for kind, body, ids in zip(right.column("kind").to_pylist(), right.column("body").to_pylist(), right.column("ids").to_pylist(), strict=True):
-        got[kind].append({COPIES: ids, SHARED: (body, ids), NODES: body}[kind])
+    got: dict[int, list] = {COPIES: [], SHARED: [], NODES: [], LEFTS: []}
+    for grp, kind, body, ids in zip(*(right.column(c).to_pylist() for c in ("grp", "kind", "body", "ids")), strict=True):
+        got[kind].append({COPIES: ids, SHARED: (body, ids), NODES: (grp, body), LEFTS: body}[kind])
     return got
 
 
@@ -166,14 +176,132 @@ def tagged(h: np.ndarray, words: int) -> np.ndarray:
     return mixed(h + np.uint64(words))
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """Returns doc_id, n_words, n_removed, kept_text for every row of docs (doc_id, text; other columns are not read).
+def coded(words: np.ndarray) -> np.ndarray:
+    """32-bit codes of words; 0 is none."""
+    return np.maximum((words >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+
+
+def class_of(h: np.ndarray) -> np.ndarray:
+    """40 bits of a window's hash: windows taken for equal only add leaves."""
+    return h >> np.uint64(24)
+
+
+def last_true(flags: np.ndarray) -> np.ndarray:
+    """The last place up to each one where the flag is set, or -1."""
+    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1)) if len(flags) else np.zeros(0, np.int64)
+
+
+def leaves_of(which: np.ndarray, row: np.ndarray, h: np.ndarray, diverse: np.ndarray, heavy: np.ndarray, window: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows (their numbers ascending, their rows and hashes) begin a leaf, and how many words each leaf would have."""
+    n = len(which)
+    if not n:
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    follows = np.concatenate([[False], (which[1:] == which[:-1] + 1) & (row[1:] == row[:-1])])
+    head = last_true(~follows)
+    heads = np.flatnonzero(~follows)
+    stop = np.repeat(np.append(heads[1:], n), np.diff(np.append(heads, n)))
+    begins = diverse.copy()
+    wide = depth - window + 1
+    if n >= wide:
+        low, size = h.copy(), 1
+        while size * 2 <= wide:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < wide:
+            low = np.minimum(low[: len(low) - (wide - size)], low[wide - size :])
+        # a stretch has a smallest window for each of its spans; equal ones are all taken
+        at = np.flatnonzero(head[wide - 1 :] <= np.arange(n - wide + 1))
+        for a in range(wide):
+            to = at + a
+            begins[to] |= h[to] == low[at]
+    # after a heavy window that begins a leaf, the next one does, too
+    linked = follows.copy()
+    linked[1:] &= heavy[:-1]
+    begin, broken = last_true(begins), last_true(~linked)
+    begins = (begin >= 0) & (begin >= broken)
+    return begins, np.where(heavy, window, np.minimum(stop - np.arange(n) + window - 1, depth))
+
+
+def leaf_codes(codes: np.ndarray, first: np.ndarray, length: np.ndarray, depth: int) -> np.ndarray:
+    """One row of codes a leaf, filled up with 0."""
+    column = np.arange(depth)
+    at = np.minimum(first[:, None] + column, len(codes) - 1)
+    return np.where(column < length[:, None], codes[at], np.uint32(0))
+
+
+def sorting(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of codes, and the number of words that each sorted one shares with the one before."""
+    keys = np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").reshape(-1)
+    order = np.argsort(keys, kind="stable")
+    by = rows[order]
+    common = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = by[1:] != by[:-1]
+        # equal rows share all their words, not what fills them up
+        common[1:] = np.where(differ.any(1), differ.argmax(1), (by[1:] != 0).sum(1))
+    return order, common
+
+
+def distinct(rows: np.ndarray, length: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different leaves, their lengths, words shared with the one before and smallest ids; and the leaf of each row."""
+    order, common = sorting(rows)
+    same = common == length[order]
+    same[1:] &= length[order][1:] == length[order][:-1]
+    same[:1] = False
+    heads = np.flatnonzero(~same)
+    leaf = np.empty(len(rows), np.int64)
+    leaf[order] = np.cumsum(~same) - 1
+    return rows[order][heads], length[order][heads], common[heads], np.minimum.reduceat(who[order], heads), leaf
+
+
+def front_coded(rows: np.ndarray, length: np.ndarray, common: np.ndarray, low: np.ndarray) -> bytes:
+    column = np.arange(rows.shape[1])
+    tails = rows[(column >= common[:, None]) & (column < length[:, None])]
+    head = pack(length.astype(np.uint8), common.astype(np.uint8), low)
+    return len(head).to_bytes(8, "little") + head + pack(tails)
+
+
+def front_decoded(blob: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of codes, and their smallest ids."""
+    size = 8 + int.from_bytes(blob[:8], "little")
+    length, common, low = unpack(blob[8:size], "u1", "u1", "i8")
+    (tails,) = unpack(blob[size:], "u4")
+    column, place = np.arange(depth), np.arange(len(length))
+    rows = np.zeros((len(length), depth), np.uint32)
+    rows[(column >= common[:, None]) & (column < length[:, None])] = tails
+    for c in range(depth):
+        rows[:, c] = np.where(c < length, rows[np.maximum.accumulate(np.where(common <= c, place, 0)), c], 0)
+    return rows, low
+
+
+def deepest(common: np.ndarray, low: np.ndarray, window: int, depth: int) -> np.ndarray:
+    """For each leaf of a sorted group the depth of its deepest internal node, ``window`` or more, that has a smaller id below it; else 0.
+
+    A node is an interval of leaves that share so many words; the tree is walked from its deepest nodes up.
+    """
+    found = np.zeros(len(low), np.int64)
+    for level in range(depth, window - 1, -1):
+        if not (common == level).any():
+            continue
+        heads = np.flatnonzero(common < level)
+        least = np.repeat(np.minimum.reduceat(low, heads), np.diff(np.append(heads, len(low))))
+        found[(found == 0) & (least < low)] = level
+    return found
+
+
+def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, depth: int = DEPTH, class_suffixes: int = CLASS_SUFFIXES) -> DataFrame:
+    """Returns doc_id, n_words, n_removed, kept_text, passages for every row of docs (doc_id, text; other columns are not read).
+
+    passages are the maximal repeats for which words go, as first word (from 0) and number of words: those that no other contains. One
+    longer than ``depth`` words comes in pieces of up to that many, which overlap by ``window`` - 1 words or more; a copy of a whole text is one passage.
 
     Words are runs without ASCII white space; a null text has none. Rows that share an id never remove words from each other. Rows
     without id come after all others: they lose what stands in a document with id, and remove nothing. An empty table gives an empty
     result. kept_text has the kept words joined by one space.
     """
     require(docs, ["doc_id", "text"])
+    if not anchor <= window <= depth <= 255:
+        raise ValueError("anchor <= window <= depth <= 255 must hold")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     text = F.coalesce("text", F.lit(""))
     # the text's hash as well, so that rows without id, or with one id, are spread
@@ -268,17 +396,56 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         at = b.first[which]
         return b, which, span_hashes(b.words, at, at + window)
 
-    def suffixes_of(left: pa.Table, right: pa.Table) -> pa.Table:
+    def lefts_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The words before the windows that can repeat, to be compared by the windows' hashes."""
         if not left.num_rows:
             return messages([])
-        own, got = int(left.column("block")[0].as_py()), received(right)
-        b, which, h = windows_of(left, got)
+        own = int(left.column("block")[0].as_py())
+        b, which, h = windows_of(left, received(right))
         if not len(which):
             return messages([])
+        at = b.first[which]
+        before = np.where(at == b.at[b.row[which]], np.uint32(0), coded(b.words[at - 1]))
+        h = class_of(h)
+        order = np.argsort(h, kind="stable")
+        heads = runs(h[order])
+        least, most = np.minimum.reduceat(before[order], heads), np.maximum.reduceat(before[order], heads)
+        before, count, h = np.where(least == most, least, np.uint32(0)), np.diff(np.append(heads, len(order))).astype(np.uint32), h[order][heads]
+        bucket = (h % np.uint64(n_blocks)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_blocks + 1))
+        parts = [(g, order[cuts[g] : cuts[g + 1]]) for g in range(n_blocks)]
+        return messages([(g, own, LEFTS, pack(h[i], before[i], count[i]), None) for g, i in parts if len(i)])
+
+    def diverse_of(t: pa.Table) -> pa.Table:
+        """Classes of windows that are left-diverse (1) or heavy (2), to the blocks that have them."""
+        parts = [unpack(x, "u8", "u4", "u4") for x in t.column("body").to_pylist()]
+        owner = np.repeat(t.column("block").to_numpy(), [len(x[0]) for x in parts])
+        h, before, count = (np.concatenate([x[k] for x in parts]) for k in range(3))
         order = np.argsort(h, kind="stable")
         heads = runs(h[order])
-        low = np.minimum.reduceat(b.ids[b.row[which]][order], heads)
-        which, h = which[order][heads], h[order][heads]
+        least, most = np.minimum.reduceat(before[order], heads), np.maximum.reduceat(before[order], heads)
+        flag = ((least == 0) | (least < most)) + 2 * (np.add.reduceat(count[order].astype(np.int64), heads) > class_suffixes)
+        flags = np.empty(len(h), np.uint8)
+        flags[order] = np.repeat(flag, np.diff(np.append(heads, len(h))))
+        i = np.flatnonzero(flags)
+        i = i[np.lexsort((h[i], owner[i]))]
+        cuts = np.append(runs(owner[i]), len(i)) if len(i) else []
+        return messages([(0, int(owner[i[a]]), LEFTS, pack(h[i[a:z]], flags[i[a:z]]), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def leaves(left: pa.Table, got: dict[int, list]):
+        """The block, and of each leaf its first word, length, document's id and group."""
+        b, which, h = windows_of(left, got)
+        known = [unpack(x, "u8", "u1") for x in got[LEFTS]]
+        key, flag = joined([x[0] for x in known], "u8"), joined([x[1] for x in known], "u1")
+        order = np.argsort(key)
+        key, flag = key[order], flag[order]
+        flags = np.zeros(len(which), np.uint8)
+        if len(key):
+            at = np.minimum(np.searchsorted(key, class_of(h)), len(key) - 1)
+            flags = np.where(key[at] == class_of(h), flag[at], 0)
+        begins, length = leaves_of(which, b.row[which], h, (flags & 1) > 0, (flags & 2) > 0, window, depth)
+        which, h, length = which[begins], h[begins], length[begins]
         heavy = heavy_of(got)
         group, open_ = h.copy(), np.arange(len(which))
         for words in PREFIXES:
@@ -288,61 +455,72 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             group[open_] = key
             open_ = open_[among(key, heavy)]
         group[open_] = h[open_]
-        group = (group % np.uint64(n_blocks)).astype(np.int64)
-        codes = (b.words >> np.uint64(48)).astype(np.uint16)
+        return b, b.first[which], length, b.ids[b.row[which]], (group % np.uint64(n_blocks)).astype(np.int64)
+
+    def by_group(b: Block, first: np.ndarray, length: np.ndarray, who: np.ndarray, group: np.ndarray):
+        """Of each group the places of its leaves, and the different ones of them."""
+        codes = coded(b.words)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(n_blocks + 1))
-        out = []
         for g in range(n_blocks):
             i = order[cuts[g] : cuts[g + 1]]
             if len(i):
-                out.append((g, own, NODES, pack(codes[b.first[which[i]][:, None] + np.arange(window)], h[i], low[i]), None))
-        return messages(out)
+                yield g, i, distinct(leaf_codes(codes, first[i], length[i], depth), length[i], who[i])
+
+    def suffixes_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return messages([])
+        own = int(left.column("block")[0].as_py())
+        return messages([(g, own, NODES, front_coded(*found[:4]), None) for g, _, found in by_group(*leaves(left, received(right)))])
 
     def tree_of(t: pa.Table) -> pa.Table:
-        """The suffix tree of a group: sorted suffixes and the common words of neighbours. Nodes ``window`` deep are repeats."""
-        parts = [unpack(x, f"({window},)u2", "u8", "i8") for x in t.column("body").to_pylist()]
-        owner = np.repeat(t.column("block").to_numpy(), [len(x[1]) for x in parts])
-        codes, h, low = (np.concatenate([x[k] for x in parts]) for k in range(3))
-        wide = np.zeros((len(h), -(-window // 4) * 4), np.uint16)
-        wide[:, :window] = codes
-        keys = wide.astype(">u2").view(">u8").astype(np.uint64)
-        order = np.lexsort((h, *(keys[:, k] for k in reversed(range(keys.shape[1])))))
-        codes, h, low, owner = codes[order], h[order], low[order], owner[order]
-        same = codes[1:] == codes[:-1]
-        depth = np.where(same.all(1), window, same.argmin(1))
-        depth[(depth == window) & (h[1:] != h[:-1])] = window - 1
-        heads = np.flatnonzero(np.concatenate([[True], depth < window]))
-        least = np.repeat(np.minimum.reduceat(low, heads), np.diff(np.append(heads, len(h))))
-        i = np.flatnonzero(least < low)
-        i = i[np.argsort(owner[i], kind="stable")]
-        cuts = np.append(runs(owner[i]), len(i)) if len(i) else []
-        return messages([(0, int(owner[i[a]]), NODES, pack(h[i[a:z]], least[i[a:z]]), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+        """The suffix tree of a group: sorted leaves and the common words of neighbours."""
+        grp, owners = int(t.column("grp")[0].as_py()), t.column("block").to_numpy()
+        parts = [front_decoded(x, depth) for x in t.column("body").to_pylist()]
+        sizes = [len(x[1]) for x in parts]
+        low, place = np.concatenate([x[1] for x in parts]), np.concatenate([np.arange(n) for n in sizes])
+        order, common = sorting(np.concatenate([x[0] for x in parts]))
+        found = np.zeros(len(low), np.uint8)
+        found[order] = deepest(common, low[order], window, depth)
+        ends = np.cumsum(sizes)
+        out = []
+        for own, a, z in zip(owners.tolist(), ends - sizes, ends, strict=True):
+            i = a + np.flatnonzero(found[a:z])
+            if len(i):
+                out.append((grp, own, NODES, pack(place[i].astype(np.uint32), found[i]), None))
+        release_memory()
+        return messages(out)
 
     def removed_of(left: pa.Table, right: pa.Table) -> pa.Table:
         got = received(right)
         n_rows = left.num_rows
-        n_words, n_removed, kept = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), [b""] * n_rows
+        n_words, n_removed, kept, passages = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), [b""] * n_rows, [[] for _ in range(n_rows)]
         if n_rows:
-            b, which, h = windows_of(left, got)
+            b, first, length, who, group = leaves(left, got)
             n_words = np.diff(b.at)
+            reach = np.zeros(len(first), np.int64)
+            nodes = dict(got[NODES])
+            for g, i, (_, _, _, low, leaf) in by_group(b, first, length, who, group):
+                found = np.zeros(len(low), np.int64)
+                if g in nodes:
+                    at, deep = unpack(nodes[g], "u4", "u1")
+                    found[at] = deep
+                # another document of this block has the same leaf
+                reach[i] = np.where(who[i] > low[leaf], length[i], found[leaf])
+            # leaves stand in the order of their words; those that another contains are left out
+            end = first + reach
+            most = np.maximum.accumulate(end) if len(end) else end
+            whole = np.flatnonzero((reach > 0) & (end > np.concatenate([[0], most[:-1]])))
             steps = np.zeros(len(b.words) + 1, np.int64)
-            if len(which):
-                keys, inverse = np.unique(h, return_inverse=True)
-                who = b.ids[b.row[which]]
-                least = np.full(len(keys), LAST_ID, np.int64)
-                np.minimum.at(least, inverse, who)
-                nodes = [unpack(x, "u8", "i8") for x in got[NODES]]
-                if nodes:
-                    node, low = np.concatenate([x[0] for x in nodes]), np.concatenate([x[1] for x in nodes])
-                    at = np.searchsorted(keys, node)
-                    np.minimum.at(least, at, low)
-                at = b.first[which[who > least[inverse]]]
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
+            np.add.at(steps, first[whole], 1)
+            np.add.at(steps, end[whole], -1)
+            of = np.searchsorted(b.at, first[whole], "right") - 1
+            for r, start, words in zip(of.tolist(), (first[whole] - b.at[of]).tolist(), reach[whole].tolist(), strict=True):
+                passages[r].append([start, words])
             gone = np.cumsum(steps[:-1]) > 0
             for r in np.flatnonzero(b.copy & (n_words >= window)):
                 gone[b.at[r] : b.at[r + 1]] = True
+                passages[r] = [[0, int(n_words[r])]]
             sums = np.concatenate([[0], np.cumsum(gone)])
             n_removed = sums[b.at[1:]] - sums[b.at[:-1]]
             body = memoryview(b.data)
@@ -352,18 +530,25 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     words = [w for w, x in zip(words, gone[b.at[r] : b.at[r + 1]].tolist(), strict=True) if not x]
                 kept[r] = b" ".join(words)
             release_memory()
-        return finish(left.column("doc_id"), n_words, n_removed, kept)
-
-    def finish(ids, n_words, n_removed, kept) -> pa.Table:
-        return pa.table({"doc_id": ids.cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table(
+            {
+                "doc_id": left.column("doc_id").cast(pa.int64()),
+                "n_words": pa.array(n_words, pa.int64()),
+                "n_removed": pa.array(n_removed, pa.int64()),
+                "kept": pa.array(kept, pa.binary()),
+                "passages": pa.array(passages, pa.list_(pa.list_(pa.int64()))),
+            }
+        )
 
     grouped = lambda: blocks.groupBy("block")
     anchors = grouped().cogroup(copies.groupBy("block")).applyInArrow(anchors_of, MESSAGE)
     shared = anchors.groupBy("grp").applyInArrow(shared_of, MESSAGE).unionByName(copies)
-    suffixes = grouped().cogroup(shared.groupBy("block")).applyInArrow(suffixes_of, MESSAGE)
+    lefts = grouped().cogroup(shared.groupBy("block")).applyInArrow(lefts_of, MESSAGE)
+    told = shared.unionByName(lefts.groupBy("grp").applyInArrow(diverse_of, MESSAGE))
+    suffixes = grouped().cogroup(told.groupBy("block")).applyInArrow(suffixes_of, MESSAGE)
     nodes = suffixes.groupBy("grp").applyInArrow(tree_of, MESSAGE)
-    out = grouped().cogroup(shared.unionByName(nodes).groupBy("block")).applyInArrow(removed_of, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
-    return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+    out = grouped().cogroup(told.unionByName(nodes).groupBy("block")).applyInArrow(removed_of, "doc_id bigint, n_words bigint, n_removed bigint, kept binary, passages array<array<bigint>>")
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "passages")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -78,6 +78,66 @@ def test_substrings_of_other_texts_under_the_id_of_a_copy(spark):
     assert assert_substrings(spark, [(1, copied), (None, copied), (None, unique), (5, copied), (5, other)]) == 30
 
 
+def related_texts(seed):
+    """Texts of few words, cut from and pasted into each other, so that repeats of all lengths overlap."""
+    rng, pool = np.random.default_rng(seed), []
+    for k in range(60):
+        words = [f"v{x}" for x in rng.integers(0, 3 if k % 7 == 0 else 400, rng.integers(0, 90))]
+        for _ in range(int(rng.integers(0, 4)) if pool else 0):
+            other = pool[rng.integers(len(pool))][1]
+            a, at = int(rng.integers(0, len(other) + 1)), int(rng.integers(0, len(words) + 1))
+            words[at:at] = other[a : a + int(rng.integers(10, 120))]
+        pool.append((int(rng.integers(0, 50)) if k % 11 else None, words))
+    return [(i, " ".join(w)) for i, w in pool]
+
+
+@pytest.mark.parametrize("seed, block, depth, most", [(1, 3000, 13, 10**6), (2, 3000, 20, 10**6), (3, 5000, 16, 2), (4, 10**6, 64, 20_000), (5, 2000, 64, 3)])
+def test_substrings_of_texts_cut_from_each_other(spark, seed, block, depth, most):
+    texts = related_texts(seed)
+    want = [((None if i == substring.LAST_ID else i), *rest) for i, *rest in substring.brute_force(texts)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = substring.dedup_passages(df, block_bytes=block, group_suffixes=30, depth=depth, class_suffixes=most)
+    assert rows(substring.digest(got)) == sorted(want, key=repr) and sum(r[2] for r in want) > 1000
+
+
+def test_substrings_give_maximal_repeats(spark):
+    texts = [(k, t) for k, (_, t) in enumerate(related_texts(6))]
+    got = substring.dedup_passages(spark.createDataFrame(texts, "doc_id long, text string"), block_bytes=4000, depth=255).collect()
+    split, deep = [t.split() for _, t in texts], 0
+    for r in got:
+        own, want, end = split[r.doc_id], [], 0
+        for i in range(len(own)):
+            longest = 0
+            for other in split[: r.doc_id]:
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    longest = max(longest, n)
+            if longest >= substring.WINDOW and i + longest > end:
+                want.append([i, longest])
+            end = max(end, i + longest if longest >= substring.WINDOW else 0)
+        assert r.passages == want
+        deep += sum(n > 40 for _, n in want)
+    assert deep > 5
+
+
+def test_deepest_nodes_equal_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        rows_, low = rng.integers(1, 3, (25, 8)).astype(np.uint32), rng.integers(0, 12, 25)
+        length = rng.integers(3, 9, 25)
+        rows_[np.arange(8) >= length[:, None]] = 0
+        order, common = substring.sorting(rows_)
+        got = substring.deepest(common, low[order], 3, 8)
+        for a, i in enumerate(order):
+            shared = [next((k for k in range(8) if rows_[i][k] != rows_[j][k] or not rows_[i][k]), 8) for j in range(25) if low[j] < low[i]]
+            assert got[a] == max([n for n in shared if n >= 3], default=0)
+        leaf = substring.distinct(rows_, length, low)
+        back, least = substring.front_decoded(substring.front_coded(*leaf[:4]), 8)
+        assert (back == leaf[0]).all() and (least == leaf[3]).all()
+
+
 def test_packing_is_an_exact_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
