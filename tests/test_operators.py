@@ -42,6 +42,26 @@ def test_leaders_equal_a_scan(spark):
             assert got[i] == (i if lead is None else lead)
 
 
+@pytest.mark.parametrize("most", [6, 1_000_000])
+def test_leaders_of_pairs_equal_a_scan_of_long_chains_too(spark, monkeypatch, most):
+    monkeypatch.setattr(similarity, "FEW_LINKS", 0 if most < 1000 else 10_000)
+    rng, size, others = random.Random(6), *((16, 8) if most < 1000 else (240, 60))
+    links = {(i, i + 1) for i in range(size - 1)} | {(1000 + i, 1000 + j) for j in range(others) for i in range(j) if rng.random() < 0.1}
+    links |= {(2000 + i, 2009) for i in range(9)} | {(5, 9999), (9998, 9999)}  # 9998 and 9999 are no rows
+    ids = [*range(size), *range(1000, 1000 + others), *range(2000, 2010)]
+    lead = {}
+    for b in ids:
+        lead[b] = min((a for a, other in links if other == b and lead.get(a) == a), default=b)
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = similarity.leaders_of(rows, spark.createDataFrame([(a, b, a / 10000) for a, b in links], "a long, b long, sim double"), most).collect()
+    assert sorted((r.id, r.leader, r.sim) for r in got) == [(i, lead[i], 1.0 if lead[i] == i else lead[i] / 10000) for i in sorted(ids)]
+
+
+def test_leaders_of_no_rows(spark):
+    none = spark.createDataFrame([], "a long, b long, sim double")
+    assert similarity.leaders_of(none.select(F.col("a").alias("id")), none).collect() == []
+
+
 def sid(*parts):
     return hashlib.sha256("::".join(map(str, parts)).encode()).hexdigest()[:16]
 
