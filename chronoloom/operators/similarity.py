@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import operator
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
@@ -16,13 +18,115 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from chronoloom.functions.scalar import dot, stable_id
 from chronoloom.sources.tables import settled
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
+#: Rows of a pack, on average; rows of a pack that are multiplied at a time; pairs that are summed exactly at a time.
+PACK, TILE, SUMS = 8192, 256, 16384
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows whose id and vector are whole, with the vector's length; others are similar to none."""
+    return rows.where(F.col("id").isNotNull() & ~F.exists("vector", F.isnull)).withColumn("vector", F.col("vector").cast("array<double>")).withColumn("n", F.size("vector"))
+
+
+def _packs(rows: DataFrame) -> DataFrame:
+    """One row per big, n, of and lot of rows (id, block, vector, big, n, of, lot): ids, codes (one for each block in the pack, in order) and the
+    vectors' numbers, as 32-bit ones where that loses nothing."""
+    kind = dict(rows.dtypes)
+
+    def pack(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        codes = pd.factorize(frame.block, use_na_sentinel=False)[0].astype(np.int32)
+        order = np.argsort(codes, kind="stable")
+        data = np.array(frame.vector.tolist(), np.float64).reshape(len(frame), -1)[order]
+        with np.errstate(over="ignore"):
+            small = data.astype(np.float32)
+        data = small if np.array_equal(small, data) else data
+        return pd.DataFrame({"big": [keys[0]], "n": [keys[1]], "of": [keys[2]], "lot": [keys[3]], "ids": [frame.id.to_numpy()[order]], "codes": [codes[order].tobytes()], "data": [data.tobytes()]})
+
+    schema = f"big {kind['big']}, n int, of long, lot long, ids array<{kind['id']}>, codes binary, data binary"
+    return rows.select("id", "block", "vector", "big", "n", "of", "lot").groupBy("big", "n", "of", "lot").applyInPandas(pack, schema)
+
+
+def _numbers(row) -> np.ndarray:
+    size = len(row.ids) * row.n
+    data = np.frombuffer(row.data, np.float32 if len(row.data) == 4 * size else np.float64) if size else np.zeros(0)
+    return data.reshape(len(row.ids), row.n).astype(np.float64)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Dot products of x[p] and y[q], summed in the order of the numbers, as dot() does it."""
+    sims = np.zeros(len(p))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(0, len(p), SUMS):
+            for column in (x[p[k : k + SUMS]] * y[q[k : k + SUMS]]).T:
+                sims[k : k + SUMS] += column
+    return sims
+
+
+def _whole(sim: str) -> Column:
+    """NaN, which pandas gives back as null."""
+    return F.coalesce(sim, F.lit(float("nan")))
+
+
+def _rounding(x: np.ndarray, y: np.ndarray) -> float:
+    """More than the sums of a product of matrices can be off."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        longest = [np.sqrt(np.einsum("rw,rw->r", v, v).max(initial=0.0)) for v in (x, y)]
+    return 8 * (x.shape[1] + 1) * np.finfo(float).eps * float(longest[0]) * float(longest[1])
+
+
+def _alike(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and similarities of pairs of x and y, or of x, each once, with a similarity of threshold or more (NaN is more)."""
+    same, y = y is None, x if y is None else y
+    least = threshold - _rounding(x, y)
+    for k in range(0, len(x), TILE):
+        start = k if same else 0
+        with np.errstate(over="ignore", invalid="ignore"):
+            met = ~(x[k : k + TILE] @ y[start:].T < least)
+        p, q = np.nonzero(np.triu(met, 1) if same else met)
+        for m in range(0, len(p), TILE * TILE):
+            left, right = p[m : m + TILE * TILE] + k, q[m : m + TILE * TILE] + start
+            sims = _exact(x, y, left, right)
+            kept = ~(sims < threshold)
+            yield left[kept], right[kept], sims[kept]
+
 
 def pairs(vectors: DataFrame, threshold: float, block: str | None = "block") -> DataFrame:
-    """a, b, sim of unit vectors (id, block, vector) in one block with a < b and a similarity of threshold or more."""
-    left = vectors.select(F.col("id").alias("a"), *([block] if block else []), F.col("vector").alias("u"))
-    right = vectors.select(F.col("id").alias("b"), *([block] if block else []), F.col("vector").alias("v"))
-    joined = left.join(right, block) if block else left.join(right, F.col("a") < F.col("b"))
-    return joined.where("a < b").withColumn("sim", dot(F.col("u"), F.col("v"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
+    """a, b, sim of unit vectors (id, block, vector) in one block with a < b and a similarity of threshold or more; ids are unique.
+
+    All rows of a block are compared. A block of more than ``PACK`` rows is dealt into packs by hashes of ids, smaller blocks share packs; a task
+    gets two packs at a time, multiplies them as matrices and sums what may be similar again, exactly. Memory is bounded by the packs, one
+    block's work is spread over all tasks; work and copies of rows grow with the square of a block's rows.
+    """
+    rows = _usable(vectors.select("id", F.col(block).alias("block") if block else F.lit(0).alias("block"), "vector")).where("block is not null")
+    counts = settled(rows.groupBy("block", "n").agg(F.count("*").alias("m"), F.ceil(F.count("*") / PACK).alias("of")))
+    shared = counts.agg(F.ceil(F.sum(F.when(F.col("of") == 1, F.col("m"))) / PACK)).first()[0] or 1
+    dealt = rows.join(counts, ["block", "n"]).withColumn("big", F.when(F.col("of") > 1, F.col("block")))
+    packs = _packs(dealt.withColumn("lot", F.when(F.col("of") > 1, F.pmod(F.xxhash64("id"), "of")).otherwise(F.pmod(F.xxhash64("block"), F.lit(shared)))))
+    meets = F.when(F.col("of") > 1, F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).otherwise(F.array("lot"))
+    cells = packs.withColumn("other", F.explode(meets)).withColumn("i", F.least("lot", "other")).withColumn("j", F.greatest("lot", "other")).drop("other")
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = [row for frame in frames for row in frame.itertuples(index=False)]
+        x, ids = _numbers(met[0]), np.asarray(met[0].ids)
+        if len(met) == 2:
+            parts = [(ids, np.asarray(met[1].ids), _alike(x, _numbers(met[1]), threshold))]
+        elif met[0].i != met[0].j:  # the other pack got no rows
+            parts = []
+        else:
+            ends = [0, *(np.flatnonzero(np.diff(np.frombuffer(met[0].codes, np.int32))) + 1), len(ids)]
+            parts = ((ids[s:e], ids[s:e], _alike(x[s:e], None, threshold)) for s, e in itertools.pairwise(ends))
+        for left, right, found in parts:
+            for p, q, sims in found:
+                a, b = left[p], right[q]
+                swap = a > b
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                kept = a != b
+                yield pd.DataFrame({"a": a[kept], "b": b[kept], "sim": sims[kept]})
+
+    found = cells.groupBy("big", "n", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
+    return found.withColumn("sim", _whole("sim"))
 
 
 def bucket_pairs(vectors: DataFrame, threshold: float, planes: int = 8, tables: int = 16, seed: int = 5) -> DataFrame:

@@ -195,6 +195,29 @@ def test_candidate_pairs_are_exact_and_mostly_found(spark):
     assert got <= want and len(got) > 0.95 * len(want) > 100
 
 
+@pytest.mark.parametrize("pack", [16, 8192])
+def test_pairs_of_dealt_blocks_equal_all_comparisons(spark, monkeypatch, pack):
+    monkeypatch.setattr(similarity, "PACK", pack)
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i:03d}", "x" if i < 90 else f"y{i % 7}", [float(v) for v in rng.normal(size=3 if i % 10 else 4)]) for i in range(150)]
+    rows += [("s0", None, [1.0, 2.0, 3.0]), ("s1", "x", None), ("s2", "x", [1.0, None, 3.0]), ("s3", "x", [float("nan")] * 3), (None, "x", [1.0, 1.0, 1.0]), ("s4", "x", []), ("s5", "x", []), ("s6", "x", [1e300] * 3)]
+    rows += [(f"t{i}", "x", rows[5][2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, block string, vector array<double>")
+    for block in ("block", None):
+        def known(i, j):
+            (a, x, u), (b, y, v) = rows[i], rows[j]
+            if None in (a, b, u, v) or None in u or None in v or len(u) != len(v) or block and (x != y or x is None):
+                return None
+            sim = 0.0
+            for p, q in zip(u, v):
+                sim += p * q
+            return (min(a, b), max(a, b), repr(sim)) if not sim < 0.8 else None
+
+        want = {known(i, j) for i in range(len(rows)) for j in range(i)} - {None}
+        got = similarity.pairs(df, 0.8, block).collect()
+        assert len(got) == len(want) > 800 and {(r.a, r.b, repr(r.sim)) for r in got} == want
+
+
 def test_near_comments_keep_the_earlier(spark):
     rows = [("issue_1", 1, "s1", "please merge the fix for the parser"), ("issue_1", 2, "s2", "Please merge the fix for the parser!"), ("issue_2", 3, "s3", "please merge the fix for the parser"), ("issue_1", 4, "s4", "something else entirely")]
     kept, log = similarity.near_comments(spark.createDataFrame(rows, "subject string, seq long, source_id string, body string"), models.embedded)
