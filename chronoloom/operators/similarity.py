@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from chronoloom.functions.scalar import dot, stable_id
 from chronoloom.sources.tables import settled
@@ -47,10 +46,9 @@ def _packs(rows: DataFrame) -> DataFrame:
     return rows.select("id", "block", "vector", "big", "n", "of", "lot").groupBy("big", "n", "of", "lot").applyInPandas(pack, schema)
 
 
-def _numbers(row) -> np.ndarray:
-    size = len(row.ids) * row.n
-    data = np.frombuffer(row.data, np.float32 if len(row.data) == 4 * size else np.float64) if size else np.zeros(0)
-    return data.reshape(len(row.ids), row.n).astype(np.float64)
+def _numbers(data: bytes, rows: int, n: int) -> np.ndarray:
+    found = np.frombuffer(data, np.float32 if len(data) == 4 * rows * n else np.float64) if rows * n else np.zeros(0)
+    return found.reshape(rows, n).astype(np.float64)
 
 
 def _exact(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -109,9 +107,10 @@ def pairs(vectors: DataFrame, threshold: float, block: str | None = "block") ->
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = [row for frame in frames for row in frame.itertuples(index=False)]
-        x, ids = _numbers(met[0]), np.asarray(met[0].ids)
+        own = [_numbers(row.data, len(row.ids), row.n) for row in met]
+        x, ids = own[0], np.asarray(met[0].ids)
         if len(met) == 2:
-            parts = [(ids, np.asarray(met[1].ids), _alike(x, _numbers(met[1]), threshold))]
+            parts = [(ids, np.asarray(met[1].ids), _alike(x, own[1], threshold))]
         elif met[0].i != met[0].j:  # the other pack got no rows
             parts = []
         else:
@@ -229,44 +228,49 @@ def nearest(vectors: DataFrame, query: list[float], k: int, above: float | None
     return out.where(F.col("sim") > above) if above is not None else out
 
 
-#: Queries that are compared with all rows at a time.
-QUERY_BLOCK = 1000
-
-
-def blocks_of(rows: Iterator, size: int) -> Iterator[list]:
-    while part := list(itertools.islice(rows, size)):
-        yield part
+#: Queries in a pack, on average.
+QUERY_PACK = 4096
 
 
 def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, above: float | None = None) -> DataFrame:
-    """qid, id, sim, place: the k rows nearest to each query (qid, vector), ties by id, then those above a similarity.
+    """qid, id, sim, place: the k rows nearest to each query (qid, vector), ties by id, then those above a similarity; qids are unique.
 
-    A stated set of queries is compared with all rows, in blocks of ``QUERY_BLOCK``: a block's vectors are one small array that goes to the tasks
-    with the plan, each task multiplies its rows with it and hands on its k best of each query. The last places are decided by exact sums.
+    Every pack of queries meets every pack of rows once. The task multiplies them as matrices, some queries at a time, sums what could be among the
+    k best again, exactly, and hands on the k best of each query. Memory is bounded by the packs; no vector goes through the driver.
     """
-    kind, qkind = vectors.schema["id"].dataType, queries.schema["qid"].dataType
-    schema = StructType().add("qid", qkind).add("id", kind).add("vector", ArrayType(DoubleType())).add("q", ArrayType(DoubleType()))
-    found = None
-    for asked in blocks_of(queries.select("qid", "vector").orderBy("qid").toLocalIterator(), QUERY_BLOCK):
-        qids, q = [r.qid for r in asked], np.array([r.vector for r in asked], np.float64)
-
-        def best(frames: Iterator[pd.DataFrame], qids=qids, q=q) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                rows = np.array(frame.vector.tolist(), np.float64)
-                sims = q @ rows.T
+    kind, qkind = vectors.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    asked, rows = _usable(queries.select(F.col("qid").alias("id"), "vector")), _usable(vectors.select("id", "vector"))
+    count = lambda df, size, name: df.groupBy("n").agg(F.ceil(F.count("*") / size).alias(name))
+    counts = settled(count(asked, QUERY_PACK, "i").join(count(rows, PACK, "j"), "n"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        lots = df.join(counts, "n").select("id", F.lit(0).alias("block"), "vector", F.col(other).alias("big"), "n", F.col(own).alias("of"), F.pmod(F.xxhash64("id"), own).alias("lot"))
+        return _packs(lots).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("big") - 1)))
+
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    cells = dealt(asked, "i", "j").select("n", F.col("lot").alias("i"), F.col("other").alias("j"), F.col("ids").alias("qids"), none(kind).alias("ids"), "data")
+    cells = cells.unionByName(dealt(rows, "j", "i").select("n", F.col("other").alias("i"), F.col("lot").alias("j"), none(qkind).alias("qids"), "ids", "data"))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = sorted((row for frame in frames for row in frame.itertuples(index=False)), key=lambda row: row.qids is None)
+        if len(met) < 2:  # the other pack got no rows
+            return
+        qids, ids = np.asarray(met[0].qids), np.asarray(met[1].ids)
+        x, y = _numbers(met[0].data, len(qids), met[0].n), _numbers(met[1].data, len(ids), met[1].n)
+        slack = _rounding(x, y)
+        for s in range(0, len(x), TILE):
+            with np.errstate(over="ignore", invalid="ignore"):
+                sims = x[s : s + TILE] @ y.T
                 # all that could be among the k best, ties and rounding included
-                least = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(frame) > k else np.full((len(qids), 1), -np.inf)
-                at, hit = np.nonzero(sims >= least - 1e-9)
-                yield pd.DataFrame({"qid": [qids[a] for a in at], "id": frame.id.to_numpy()[hit], "vector": list(rows[hit]), "q": list(q[at])})
-
-        part = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    met = found.select("qid", "id", dot(F.col("vector"), F.col("q")).alias("sim"))
-    top = met.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= k)
+                least = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(y) > k else np.full((len(sims), 1), -np.inf)
+                near = ~(sims < (least if above is None else np.fmax(least, above)) - slack)
+            p, q = np.nonzero(near)
+            found = pd.DataFrame({"p": p + s, "id": ids[q], "sim": _exact(x, y, p + s, q)})
+            found = found.sort_values(["p", "sim", "id"], ascending=[True, False, True], na_position="first").groupby("p", sort=False).head(k)
+            yield pd.DataFrame({"qid": qids[found.p.to_numpy()], "id": found.id.to_numpy(), "sim": found.sim.to_numpy()})
+
+    found = cells.groupBy("n", "i", "j").applyInPandas(best, f"qid {qkind}, id {kind}, sim double").withColumn("sim", _whole("sim"))
+    top = found.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= k)
     return top.where(F.col("sim") > above) if above is not None else top
 
 

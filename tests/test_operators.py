@@ -218,6 +218,29 @@ def test_pairs_of_dealt_blocks_equal_all_comparisons(spark, monkeypatch, pack):
         assert len(got) == len(want) > 800 and {(r.a, r.b, repr(r.sim)) for r in got} == want
 
 
+@pytest.mark.parametrize(("pack", "above"), [(16, None), (16, 0.3), (8192, 0.3)])
+def test_nearest_rows_of_dealt_queries_equal_all_comparisons(spark, monkeypatch, pack, above):
+    monkeypatch.setattr(similarity, "PACK", pack)
+    monkeypatch.setattr(similarity, "QUERY_PACK", pack // 4)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(120)]
+    rows += [(200 + i, rows[7][1]) for i in range(30)] + [(300, None), (301, [1.0, None, 2.0, 3.0]), (302, [float("nan")] * 4), (303, [1e300] * 4)]
+    asked = [(f"q{i}", v) for i, v in rows if v and None not in v and i % 3 == 1]
+    want = []
+    for qid, u in asked:
+        sims = []
+        for i, v in rows:
+            if v and None not in v:
+                sim = 0.0
+                for x, y in zip(u, v):
+                    sim += x * y
+                sims.append((sim == sim, -sim if sim == sim else 0.0, i, sim))
+        want += [(qid, i, repr(sim), n + 1) for n, (_, _, i, sim) in enumerate(sorted(sims)[:5]) if above is None or not sim <= above]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = similarity.nearest_each(spark.createDataFrame([*asked, ("none", None)], "qid string, vector array<double>"), df, 5, above)
+    assert sorted((r.qid, r.id, repr(r.sim), r.place) for r in got.select("qid", "id", "sim", "place").collect()) == sorted(want)
+
+
 def test_near_comments_keep_the_earlier(spark):
     rows = [("issue_1", 1, "s1", "please merge the fix for the parser"), ("issue_1", 2, "s2", "Please merge the fix for the parser!"), ("issue_2", 3, "s3", "please merge the fix for the parser"), ("issue_1", 4, "s4", "something else entirely")]
     kept, log = similarity.near_comments(spark.createDataFrame(rows, "subject string, seq long, source_id string, body string"), models.embedded)
